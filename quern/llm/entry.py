@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import site_lines, term_counts, term_weight
+from quern.llm import mixing, packing, site_lines, term_counts, term_weight
 from quern.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,23 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "spider_v20")
 
 
+def _documents(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents")
+
+
+def p8_containers(s: SparkSession, d: str) -> DataFrame:
+    return packing.containers(_documents(s, d), table(s, d, "container_kind"))
+
+
+def p9_selection(s: SparkSession, d: str) -> DataFrame:
+    return mixing.selection(mixing.sized(_documents(s, d)), table(s, d, "mix_plan"))
+
+
+def p9_tempered(s: SparkSession, d: str) -> DataFrame:
+    docs = mixing.sized(_documents(s, d))
+    return mixing.shares(docs, mixing.tempered_plan(docs, "repetition", max_repeats=4).union(mixing.tempered_plan(docs, "entropy", entropy=3.0)))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: term_counts.term_marks(_postings(s, d)).filter("mark is not null").select("word", "mark"),
     "p1_counts": lambda s, d: term_counts.term_marks(_postings(s, d)),
@@ -52,6 +69,11 @@ QUERIES: dict[str, Query] = {
     "p3_clean": lambda s, d: site_lines.without_repeated(_pages(s, d)),
     "p4_found": lambda s, d: term_weight.most_distinctive(term_weight.term_weights(_postings(s, d), k1=None, idf="log2")).select("page_id", "word"),
     "p4_weights": lambda s, d: term_weight.term_weights(_postings(s, d)),
+    "p8_containers": p8_containers,
+    "p8_fill": lambda s, d: packing.fill(p8_containers(s, d), table(s, d, "container_kind")),
+    "p9_selection": p9_selection,
+    "p9_shares": lambda s, d: mixing.shares(mixing.sized(_documents(s, d)), table(s, d, "mix_plan")),
+    "p9_tempered": p9_tempered,
 }
 
 SQL: dict[str, str] = {
