@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, near_duplicates, packing, site_lines, term_counts, term_weight
+from quern.llm import mixing, near_duplicates, packing, reading_level, site_lines, term_counts, term_weight
 from quern.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,8 @@ QUERIES: dict[str, Query] = {
     "p9_selection": p9_selection,
     "p9_shares": lambda s, d: mixing.shares(mixing.sized(_documents(s, d)), table(s, d, "mix_plan")),
     "p9_tempered": p9_tempered,
+    "p10_found": lambda s, d: reading_level.demanding(_documents(s, d), table(s, d, "reading_label")).select("doc_id"),
+    "p10_levels": lambda s, d: reading_level.reading_levels(_documents(s, d), table(s, d, "reading_label")),
 }
 
 SQL: dict[str, str] = {
