@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, near_duplicates, packing, reading_level, site_lines, term_counts, term_weight
+from quern.llm import mixing, mojibake, near_duplicates, packing, reading_level, site_lines, term_counts, term_weight
 from quern.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,8 @@ def p9_tempered(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: term_counts.term_marks(_postings(s, d)).filter("mark is not null").select("word", "mark"),
     "p1_counts": lambda s, d: term_counts.term_marks(_postings(s, d)),
+    "p2_found": lambda s, d: mojibake.swapped_fields(_pages(s, d)).select("page_id", "field"),
+    "p2_restored": lambda s, d: mojibake.restored(_pages(s, d)),
     "p3_found": lambda s, d: site_lines.repeated_lines(_pages(s, d)),
     "p3_clean": lambda s, d: site_lines.without_repeated(_pages(s, d)),
     "p4_found": lambda s, d: term_weight.most_distinctive(term_weight.term_weights(_postings(s, d), k1=None, idf="log2")).select("page_id", "word"),
