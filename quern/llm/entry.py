@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, mojibake, near_duplicates, packing, reading_level, site_lines, term_counts, term_weight
+from quern.llm import main_content, mixing, mojibake, near_duplicates, packing, reading_level, site_lines, term_counts, term_weight
 from quern.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,8 @@ QUERIES: dict[str, Query] = {
     "p3_clean": lambda s, d: site_lines.without_repeated(_pages(s, d)),
     "p4_found": lambda s, d: term_weight.most_distinctive(term_weight.term_weights(_postings(s, d), k1=None, idf="log2")).select("page_id", "word"),
     "p4_weights": lambda s, d: term_weight.term_weights(_postings(s, d)),
+    "p5_found": lambda s, d: main_content.article_lines(_pages(s, d), table(s, d, "site")),
+    "p5_texts": lambda s, d: main_content.main_texts(_pages(s, d), table(s, d, "site")),
     "p7_found": lambda s, d: near_duplicates.similar_pages(_pages(s, d)),
     "p7_groups": lambda s, d: near_duplicates.page_groups(_pages(s, d)),
     "p8_containers": p8_containers,
