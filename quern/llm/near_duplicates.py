@@ -28,7 +28,7 @@ WORDS, SIMILARITY = 4, 0.42
 CHUNKS, CHUNK, SYMBOL_BITS = 24, 4, 32
 SYMBOLS = CHUNKS * CHUNK
 #: Of the two-bit symbols of the sketch, as many may differ; a pair of similarity 0.42 differs in 41.8 +- 4.9 of 96.
-SKETCH_DISTANCE = 58
+SKETCH_DISTANCE = 54
 _WORD = re.compile("[一-鿿]|[^\\W_一-鿿]+")
 _SET_SCHEMA = "id bigint, shingles array<bigint>, same bigint, keys array<bigint>, s0 bigint, s1 bigint, s2 bigint"
 
@@ -152,8 +152,9 @@ def similar_representatives(sets: DataFrame, similarity: float = SIMILARITY) ->
     keys = reps.select("id", F.explode("keys").alias("key"), "s0", "s1", "s2")
     a, b = keys.alias("a"), keys.alias("b")
     near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (_differing("a", "b") <= SKETCH_DISTANCE))
-    pairs = near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    whole = sets.select("id", "shingles")
+    pairs = cut(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    whole = sets.select("id", "shingles").join(needed, "id", "left_semi")
     pairs = pairs.join(whole.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     pairs = pairs.withColumn("jaccard", common / (F.size("x") + F.size("y") - common))
