@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.tokens import FOLDER, VOCABULARY, token_count
-from quern.sources.tables import cut
+from quern.sources.tables import cut, spread
 
 BLOCK_BITS = 12
 #: More sources than this are refused by tempering, as the driver holds one number for each.
@@ -25,7 +25,7 @@ MAX_SOURCES = 1_000_000
 
 def sized(documents: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens), written once, as tokenizing is the dear part."""
-    return cut(documents.select("doc_id", "source", token_count(F.col("text"), folder, vocabulary).alias("tokens")))
+    return cut(spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", token_count(F.col("text"), folder, vocabulary).alias("tokens")))
 
 
 def source_sizes(docs: DataFrame) -> DataFrame:

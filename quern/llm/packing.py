@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.tokens import FOLDER, VOCABULARY, token_count
+from quern.sources.tables import spread
 
 #: Items of one shard, about.
 SHARD = 16384
@@ -73,7 +74,7 @@ def containers(documents: DataFrame, kinds: DataFrame, folder: str = FOLDER, voc
     don't matter.
     """
     n = documents.agg(F.count(F.lit(1)).alias("n")).scalar()
-    sizes = documents.select("doc_id", token_count(F.col("text"), folder, vocabulary).alias("tokens"))
+    sizes = spread(documents.select("doc_id", "text")).select("doc_id", token_count(F.col("text"), folder, vocabulary).alias("tokens"))
     sizes = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens"), F.greatest(F.ceil(n / F.lit(shard)), F.lit(1))))
     some = kinds.filter("capacity_tokens > 0 and kind is not null").groupBy("kind").agg(F.max("capacity_tokens").alias("capacity"))
     choices = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.capacity).alias("capacity")) for r in some.orderBy("kind").collect()]

@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 from quern.operators.latest import or_long_ago
 
-#: Parts of a word's pages; a word with a third of all rows then makes tasks of at most a 96th of them.
+#: Parts of a word's pages at least; there are as many as shuffle partitions if those are more.
 SALTS = 32
 
 
-def term_counts(postings: DataFrame, salts: int = SALTS) -> DataFrame:
+def term_counts(postings: DataFrame, salts: int | None = None) -> DataFrame:
     """(word, occurrences, records) of every non-null word, from its current postings.
 
     Rows with null word or page_id don't count; null counts are taken from pos, and are 0 where that is null too; copies and
     older postings count once; an empty table gives no rows; further columns don't matter.
     """
+    salts = salts or max(SALTS, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     size = F.when(F.col("pos").isNotNull(), F.size("pos"))
     rows = postings.filter(F.col("word").isNotNull() & F.col("page_id").isNotNull()).select(
         "word", "page_id", F.pmod(F.hash("page_id"), F.lit(salts)).alias("salt"),
