@@ -50,6 +50,6 @@ def resolved(base: Column, link: Column) -> Column:
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link == "", base)
         .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
-        .when(link.startswith("?"), F.concat(origin, F.when(bare == "", "/").otherwise(bare), link))
+        .when(link.startswith("?"), F.concat(origin, bare, link))
         .otherwise(F.concat(origin, whole, rest))
     )
