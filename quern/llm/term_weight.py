@@ -7,11 +7,15 @@ the same formula for a growing k1 with b = 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.term_counts import indexed_pages
 from quern.operators.latest import current_postings
+from quern.sources.tables import cut
+
+#: Parts of a page's words when its greatest scores are looked for.
+SALTS = 16
 
 
 def document_frequencies(current: DataFrame) -> DataFrame:
@@ -25,10 +29,10 @@ def term_weights(postings: DataFrame, k1: float | None = 1.2, b: float = 0.75, i
     idf `probabilistic` is ln(1 + (P - d + 0.5) / (d + 0.5)), `log2` is log2(P / d). Null words and pages are left out, copies
     and older postings count once, a count that is null is taken from pos (0 if null too); an empty table gives no rows;
     further columns don't matter. Words are joined to their document frequencies by shuffle, which AQE splits for hot words;
-    page lengths are partial sums per page.
+    page lengths are partial sums per page. Current postings are written once, as they are read two or three times.
     """
     pages = indexed_pages(postings).scalar()
-    current = current_postings(postings)
+    current = cut(current_postings(postings))
     rows = current.join(document_frequencies(current), "word")
     tf = F.col("cnt").cast("double")
     if k1 is not None:
@@ -46,8 +50,12 @@ def term_weights(postings: DataFrame, k1: float | None = 1.2, b: float = 0.75, i
 def most_distinctive(weights: DataFrame) -> DataFrame:
     """(page_id, word, score): of each page the words with its greatest score, all that tie.
 
-    The greatest score is a partial aggregate per page; joining back on page and score spreads a page that holds a large part
-    of the rows over all partitions.
+    Pages are split into parts by a salt of the word. Before any shuffle, each task keeps only what ranks first in its part of a
+    page (a rank filter becomes a group limit), so a page with a large part of the rows sends few of them. The parts' firsts are
+    then held against the page's greatest score.
     """
-    top = weights.groupBy("page_id").agg(F.max("score").alias("score"))
-    return weights.select("page_id", "word", "score").join(top, ["page_id", "score"]).select("page_id", "word", "score")
+    salt = F.pmod(F.hash("word"), F.lit(SALTS))
+    first = F.rank().over(Window.partitionBy("page_id", "salt").orderBy(F.col("score").desc()))
+    firsts = weights.select("page_id", "word", "score", salt.alias("salt")).withColumn("first", first).filter("first = 1").select("page_id", "word", "score")
+    top = firsts.groupBy("page_id").agg(F.max("score").alias("score"))
+    return firsts.join(top, ["page_id", "score"]).select("page_id", "word", "score")
