@@ -29,6 +29,8 @@ CHUNKS, CHUNK, SYMBOL_BITS = 24, 4, 32
 SYMBOLS = CHUNKS * CHUNK
 #: Of the two-bit symbols of the sketch, as many may differ; a pair of similarity 0.42 differs in 41.8 +- 4.9 of 96.
 SKETCH_DISTANCE = 54
+#: Classes of equal texts with more pages than this aren't written out in all their pairs.
+EXPANDED = 200
 _WORD = re.compile("[一-鿿]|[^\\W_一-鿿]+")
 _SET_SCHEMA = "id bigint, shingles array<bigint>, same bigint, keys array<bigint>, s0 bigint, s1 bigint, s2 bigint"
 
@@ -165,18 +167,24 @@ def similar_pages(pages: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """(page_id_a, page_id_b), a < b: all pairs of current pages with at least the similarity, equal texts among them.
 
     Pages with null raw_text or fewer than WORDS words have no runs and no pair; older fetches and copies of a row are left
-    out; very long texts are taken whole; an empty table gives no rows; further columns don't matter. Each class of equal
-    sets is written out, as the result asks for pairs of pages.
+    out; very long texts are taken whole; an empty table gives no rows; further columns don't matter. A class of equal sets
+    with up to EXPANDED pages is written out in all its pairs, and in all its pairs with similar classes; of a larger class
+    every page comes with its representative, the smallest, and only that one with pages of other classes, as its pairs would
+    grow as the square of the rows. page_groups has every page's class in any case.
     """
     sets = described(current_pages(pages, "raw_text").select(F.col("page_id").alias("id"), F.col("raw_text").alias("text")))
     of = cut(classes(sets))
+    sizes = of.filter("id <> rep").groupBy("rep").agg((F.count(F.lit(1)) + 1).alias("n"))
+    members = of.join(sizes, "rep")  # only of classes with more than one page
+    small = members.filter(F.col("n") <= EXPANDED).select("id", "rep")
+    shown = small.union(of.filter("id = rep").select("id", "rep").join(small.select("rep").distinct(), "rep", "left_anti").select("id", "rep"))
     reps = similar_representatives(sets, similarity).select("a", "b")
-    x, y = of.select(F.col("id").alias("p"), F.col("rep").alias("a")), of.select(F.col("id").alias("q"), F.col("rep").alias("b"))
+    x, y = shown.select(F.col("id").alias("p"), F.col("rep").alias("a")), shown.select(F.col("id").alias("q"), F.col("rep").alias("b"))
     between = reps.join(x, "a").join(y, "b").select(F.least("p", "q").alias("page_id_a"), F.greatest("p", "q").alias("page_id_b"))
-    more = of.filter("id <> rep").select("rep").distinct()
-    members = of.join(more, "rep", "left_semi")
-    inside = members.select("rep", F.col("id").alias("page_id_a")).join(members.select("rep", F.col("id").alias("page_id_b")), "rep")
-    return between.unionByName(inside.filter("page_id_a < page_id_b").select("page_id_a", "page_id_b"))
+    inside = small.select("rep", F.col("id").alias("page_id_a")).join(small.select("rep", F.col("id").alias("page_id_b")), "rep")
+    inside = inside.filter("page_id_a < page_id_b").select("page_id_a", "page_id_b")
+    star = members.filter((F.col("n") > EXPANDED) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("page_id_a"), F.col("id").alias("page_id_b"))
+    return between.unionByName(inside).unionByName(star)
 
 
 def linked(edges: DataFrame, rounds: int = 60) -> DataFrame:
