@@ -1,6 +1,6 @@
 """Main-text extraction from blocks of lines.
 
-Blocks are parted at the end of each empty line but the first line. A page's lines and blocks are worked on in one task for each page.
+Blocks are parted at the end of each empty line but the first line. Pages with a null text have no lines. A page's lines and blocks are worked on in one task for each page.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def block_lines(pages: DataFrame, text: str, key: str = "page_id") -> DataFrame:
     """(key, line_no, line, block_no, weight) of the lines of a text; weight counts characters other than blanks."""
-    lines = pages.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    lines = pages.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     ends = F.when((F.col("line") == "") & (F.col("line_no") > 0), 1).otherwise(0)
     block = F.coalesce(F.sum(ends).over(before), F.lit(0)).cast("int")
@@ -43,7 +43,7 @@ def main_text(lines: DataFrame, key: str = "page_id") -> DataFrame:
 
 def paragraphs(pages: DataFrame, text: str, key: str = "page_id") -> DataFrame:
     """(key, block_no, weight, text): runs of lines that aren't empty, numbered from 0; weight counts their characters and line ends."""
-    lines = pages.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    lines = pages.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     w = Window.partitionBy(key).orderBy("line_no")
     starts = F.when((F.col("line") != "") & (F.coalesce(F.lag("line").over(w), F.lit("")) == ""), 1).otherwise(0)
     lines = lines.withColumn("starts", starts).withColumn("block_no", (F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quern.functions.text import idf, snippet
 from quern.operators.index import doc_freq, lookup
 from quern.operators.order import ranked, running_sum
-from quern.operators.tokens import query_words
+from quern.operators.tokens import query_words, uses_single_characters
+from quern.sources.tables import cut
 
 #: Tiers, and the anchor of a document that has none.
 PHRASE, ALL, SOME, NO_ANCHOR = 1, 2, 3, 5
@@ -37,15 +38,15 @@ def _moved(positions: Column, k: int) -> Column:
     return F.transform(positions, lambda p: p - k)
 
 
-def matches(index: DataFrame, words: list[str], key: str = "doc_id", pages: float = 100) -> DataFrame:
+def matches(index: DataFrame, words: list[str], key: str = "doc_id", pages: float = 100, phrase_anchor: int | None = None) -> DataFrame:
     """(key, tier, anchor_pos, phrase_pos, n_words, score) of every document with a word of the query.
 
     tier 1: the words follow each other somewhere (or there is only one word); 2: all words; 3: some. anchor_pos is where the
-    first phrase starts, else the first position of the first query word the document has. Each distinct word counts once in
-    the score, as tf * log2(pages / df). A query without words matches nothing.
+    first phrase starts (or phrase_anchor, if one is given), else the first position of the first query word the document has.
+    Each distinct word counts once in the score, as tf * log2(pages / df). A query without words matches nothing.
     """
     distinct = list(dict.fromkeys(words))
-    rows = lookup(index, words)
+    rows = cut(lookup(index, words))  # read twice, and all that a query needs of an index
     frequencies = F.broadcast(doc_freq(rows))  # as many rows as the query has words
     rows = rows.join(frequencies, "word").withColumn("s", F.col("tf") * idf(F.col("df"), pages))
     of = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "pos"))).alias("at"), F.sum(F.round("s", 9).cast("decimal(30,9)")).cast("double").alias("score"))
@@ -62,7 +63,8 @@ def matches(index: DataFrame, words: list[str], key: str = "doc_id", pages: floa
     phrase = F.array_min(starts)
     first = F.coalesce(*[F.array_min(positions(w)) for w in words], F.lit(NO_ANCHOR)) if words else F.lit(NO_ANCHOR)
     tier = F.when(phrase.isNotNull(), PHRASE).when(n == len(distinct), ALL).otherwise(SOME)
-    return of.select(key, tier.alias("tier"), F.coalesce(phrase, first).cast("int").alias("anchor_pos"), phrase.alias("phrase_pos"), n.alias("n_words"), F.round("score", 6).alias("score"))
+    anchor = phrase if phrase_anchor is None else F.when(phrase.isNotNull(), phrase_anchor)
+    return of.select(key, tier.alias("tier"), F.coalesce(anchor, first).cast("int").alias("anchor_pos"), phrase.alias("phrase_pos"), n.alias("n_words"), F.round("score", 6).alias("score"))
 
 
 def phrase_starts(hits: DataFrame, words: list[str], key: str = "doc_id") -> DataFrame:
@@ -91,6 +93,11 @@ def search(index: DataFrame, query: str, key: str = "doc_id", pages: float = 100
     return ranked(found, [F.col("tier"), F.col("score").desc(), F.col(key)], limit)
 
 
+def search_either(pairs: DataFrame, singles: DataFrame, query: str, key: str = "doc_id", pages: float = 100, limit: int | None = None) -> DataFrame:
+    """search in the 1-gram index for a query of one CJK character, else in the 2-gram index."""
+    return search(singles if uses_single_characters(query_words(query)) else pairs, query, key, pages, limit)
+
+
 def running_scores(index: DataFrame, words: list[str], key: str = "doc_id", pages: float = 100) -> DataFrame:
     """(key, running_score): scores as running sums in order of the key."""
     found = matches(index, words, key, pages).select(key, F.col("score").cast("decimal(30,6)").alias("s"))

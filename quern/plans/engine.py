@@ -16,14 +16,14 @@ from quern.functions import urls
 from quern.operators import blocks, crawl, index, search, tokens
 from quern.operators.latest import current_pages
 from quern.sources import files
-from quern.sources.tables import cut, shared_dir, table
+from quern.sources.tables import shared_dir, spread, table
 from quern.streaming.index_stream import index_stream, read_stream_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", "text")
+    return spread(table(s, d, "documents").select("doc_id", "text"))
 
 
 def _pages(s: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -138,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "tfidf_running_compat": lambda s, d: search.running_scores(_index(s, d), ["that", "with"]),
     "search_two_words": lambda s, d: search.search(_index(s, d), "the library"),
     "search_cjk": lambda s, d: search.search(_index(s, d), "图书馆"),
+    "search_single_character": lambda s, d: search.search_either(_index(s, d), index.postings(tokens.unigram_hits(_docs(s, d))), "的"),
     "search_missing_term": lambda s, d: search.search(_index(s, d), "library zzz"),
     "search_no_match": lambda s, d: search.search(_index(s, d), "zzz yyy"),
     "search_code": lambda s, d: search.result_code(_matches(s, d, ["the", "library"]), ["the", "library"]),
@@ -263,6 +264,12 @@ SELECT doc_id, tf::INT AS tf FROM (SELECT doc_id, length(c) - length(replace(c,
     "tfidf_running_compat": _search(["that", "with"], "SELECT doc_id, (sum(score::DECIMAL(30, 6)) OVER (ORDER BY doc_id))::DOUBLE AS running_score FROM found"),
     "search_two_words": _search(_THE, _RANKED),
     "search_cjk": _search(["图书", "书馆"], _RANKED),
+    "search_single_character": f"""WITH c AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z ' || chr(10) || '{_C}]', '', 'g') AS c FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, regexp_extract_all(c, '[A-Za-z]+|[{_C}]') AS words, regexp_matches(c, '[^ ' || chr(10) || ']$') AS open FROM c),
+k AS (SELECT doc_id, CASE WHEN open THEN words[1:len(words) - 1] ELSE words END AS words FROM w),
+f AS (SELECT doc_id, list_position(words, '的') - 1 AS anchor_pos, len(list_filter(words, lambda x: x = '的')) AS tf FROM k WHERE list_contains(words, '的'))
+SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, 1 AS tier, anchor_pos::INT AS anchor_pos, score
+FROM (SELECT doc_id, anchor_pos, round(tf * log2(100.0 / (SELECT count(*) FROM f)), 6) AS score FROM f)""",
     "search_missing_term": _search(["library", "zzz"], _RANKED),
     "search_no_match": _search(["zzz", "yyy"], _RANKED),
     "search_code": _search(_THE, "SELECT CASE min(tier) WHEN 1 THEN 0 WHEN 2 THEN -3 WHEN 3 THEN -2 ELSE -1 END AS code FROM found"),

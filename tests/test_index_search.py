@@ -107,6 +107,14 @@ def test_scores_anchors_and_ranks(spark):
     assert [r["doc_id"] for r in search.search(built(spark, pages), "rare thing", limit=2).orderBy("rank").collect()] == [0, 1]
 
 
+def test_fixed_phrase_anchor_and_choice_of_index(spark):
+    found = {r["doc_id"]: r["anchor_pos"] for r in search.matches(built(spark), ["foo", "bar"], phrase_anchor=1).collect()}
+    assert found == {0: 1, 1: 1} and {r["doc_id"]: r["anchor_pos"] for r in search.matches(built(spark), ["foo", "bar"]).collect()} == {0: 0, 1: 1}
+    singles = index.postings(tokens.unigram_hits(spark.createDataFrame(PAGES, DOCS)))
+    assert [r["doc_id"] for r in search.search_either(built(spark), singles, "世").collect()] == [0]
+    assert [r["doc_id"] for r in search.search_either(built(spark), singles, "世界").collect()] == [0]
+
+
 def test_repeated_query_words_count_once(spark):
     once = {r["doc_id"]: r["score"] for r in search.matches(built(spark), ["foo"]).collect()}
     twice = {r["doc_id"]: r["score"] for r in search.matches(built(spark), ["foo", "foo"]).collect()}

@@ -135,6 +135,43 @@ def test_stream_equals_one_build(spark, tmp_path):
     assert run() == [(1, "bar", 1), (1, "foo", 1), (2, "new", 2), (4, "foo", 1)]
 
 
+def test_fetching(spark):
+    import gzip
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from quern.sources.fetch import download, fetched
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((self.path, self.headers["User-Agent"]))
+            if self.path == "/bad":
+                self.send_response(404)
+            elif self.path == "/flaky" and len(asked) < 3:
+                self.send_response(503)
+            else:
+                self.send_response(200)
+            body = gzip.compress("é ok".encode())
+            self.send_header("Content-Encoding", "gzip")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+    assert download(f"{root}/flaky", "me") == "é ok" and [a for _, a in asked] == ["me"] * 3
+    assert download(f"{root}/bad") is None and download("http://127.0.0.1:1/") is None and download("no url") is None
+    rows = fetched(spark.createDataFrame([(f"{root}/a",), (f"{root}/bad",), (None,)], "url string"), delay=0.05).collect()
+    assert {r["url"]: r["html"] for r in rows} == {f"{root}/a": "é ok", f"{root}/bad": None, None: None}
+    server.shutdown()
+
+
 def test_cut_and_shared_dir(spark):
     df = tables.cut(spark.range(10))
     assert df.count() == 10 and tables.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
