@@ -5,7 +5,6 @@ Documents are the table documents; pages are the current rows of spider_v20 (the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from quern.functions import urls
 from quern.operators import blocks, crawl, index, search, tokens
 from quern.operators.latest import current_pages
 from quern.sources import files
-from quern.sources.tables import shared_dir, spread, table
+from quern.sources.tables import scratch, spread, table
 from quern.streaming.index_stream import index_stream, read_stream_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,14 +79,14 @@ def incremental(s: SparkSession, d: str) -> DataFrame:
 
 def stored(s: SparkSession, d: str) -> DataFrame:
     """A lookup in an index that was written and is read again."""
-    path = f"{shared_dir(s)}/index-{uuid.uuid4().hex}"
+    path = scratch(s)
     index.write_index(_index(s, d), path, 16)
     return index.lookup(index.read_index(s, path), ["that", "with"], 16).select("word", "doc_id", "tf", F.array_min("pos").alias("first_pos"))
 
 
 def stream(s: SparkSession, d: str) -> DataFrame:
     """The index a stream of the documents' files leaves behind."""
-    at = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    at = scratch(s)
     source = table(s, d, "documents")
     index_stream(s, f"{d}/documents.parque[t]", source.schema, f"{at}/index", f"{at}/checkpoint").awaitTermination()
     return read_stream_index(s, f"{at}/index").select("word", "doc_id", "tf")

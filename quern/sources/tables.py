@@ -35,13 +35,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back: what follows doesn't compute it again, and a lost
-    executor costs nothing but its own tasks. The files go when the driver ends."""
+    executor costs nothing but its own tasks."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
