@@ -1,9 +1,10 @@
 """Frequency of every distinct word (problem 1).
 
-Last-seen counters: postings are hash-partitioned by word and a salt of the page, and sorted by word, page and age. In that
-order a row opens a new record exactly when its page differs from the last page seen for the word, so a term's state is its
-occurrences, its records and the last page; no set of pages is kept. The salt splits a word that holds a large part of the
-rows, and since a page falls into one salt the parts' states just add up.
+Copies and older postings fold into one on the map side, so a group of copies sends a row per map task. Then last-seen counters:
+postings are hash-partitioned by word and a salt of the page, and sorted by word and page. In that order a row opens a new
+record exactly when its page differs from the last page seen for the word, so a term's state is its occurrences, its records and
+the last page; no set of pages is kept. The salt splits a word that holds a large part of the rows, and since a page falls into
+one salt the parts' states just add up.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.latest import or_long_ago
+from quern.operators.latest import current_postings
 
 #: Parts of a word's pages at least; there are as many as shuffle partitions if those are more.
 SALTS = 32
@@ -24,16 +25,10 @@ def term_counts(postings: DataFrame, salts: int | None = None) -> DataFrame:
     older postings count once; an empty table gives no rows; further columns don't matter.
     """
     salts = salts or max(SALTS, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    size = F.when(F.col("pos").isNotNull(), F.size("pos"))
-    rows = postings.filter(F.col("word").isNotNull() & F.col("page_id").isNotNull()).select(
-        "word", "page_id", F.pmod(F.hash("page_id"), F.lit(salts)).alias("salt"),
-        or_long_ago(F.col("indexed_at")).alias("at"),
-        F.coalesce("count_of_page", size, F.lit(0)).cast("bigint").alias("cnt"),
-    )
-    w = Window.partitionBy("word", "salt").orderBy("page_id", F.col("at").desc())
-    last_seen = F.lag("page_id").over(w)
-    states = rows.select("word", "cnt", (~F.col("page_id").eqNullSafe(last_seen)).alias("new")).filter("new")
-    return states.groupBy("word").agg(F.sum("cnt").alias("occurrences"), F.count(F.lit(1)).alias("records"))
+    rows = current_postings(postings).withColumn("salt", F.pmod(F.hash("page_id"), F.lit(salts)))
+    last_seen = F.lag("page_id").over(Window.partitionBy("word", "salt").orderBy("page_id"))
+    states = rows.select("word", F.col("cnt").cast("bigint").alias("cnt"), (~F.col("page_id").eqNullSafe(last_seen)).alias("new"))
+    return states.groupBy("word").agg(F.sum("cnt").alias("occurrences"), F.count(F.when(F.col("new"), 1)).alias("records"))
 
 
 def indexed_pages(postings: DataFrame) -> DataFrame:
