@@ -3,22 +3,25 @@
 Weights are given by a plan, or come from tempering: each source's share of the tokens is raised to an exponent that is
 bisected until the weights have a target entropy, or until no source is used more often than a limit. The weights are then
 realised as budgeted block permutations: a source's documents stand in an order given by a seeded hash, in blocks by the
-hash's leading bits; a budget is met by whole passes over the source and a prefix of the permutation. Only block sums are
-added up across a source (at most 2^BLOCK_BITS rows each); documents are ordered within their block, so a source with a third
-of all rows is spread over thousands of blocks.
+hash's leading bits; a budget is met by whole passes over the source and a prefix of the permutation. Documents longer than LONG
+tokens have a permutation of their own and get their part of the budget first; the others fill what is left, so that a long
+document at the end of a prefix doesn't spoil it. Only block sums are added up across a source (at most 2^BLOCK_BITS rows
+each); documents are ordered within their block, so a source with a third of all rows is spread over thousands of blocks.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.tokens import FOLDER, VOCABULARY, token_count
 from quern.sources.tables import cut, spread
 
 BLOCK_BITS = 12
+#: Documents of more tokens than this are long.
+LONG = 1024
 #: More sources than this are refused by tempering, as the driver holds one number for each.
 MAX_SOURCES = 1_000_000
 
@@ -29,14 +32,14 @@ def sized(documents: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULA
 
 
 def source_sizes(docs: DataFrame) -> DataFrame:
-    return docs.filter("source is not null").groupBy("source").agg(F.sum("tokens").alias("size"))
+    return docs.filter("source is not null").groupBy("source").agg(F.sum("tokens").alias("size"), F.sum(F.when(F.col("tokens") > LONG, F.col("tokens")).otherwise(0)).alias("long_size"))
 
 
 def budgets(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """(plan_id, source, target_share, max_repeats, budget, size, passes, rest) per row of the plan.
+    """(plan_id, source, target_share, max_repeats, budget, size, passes, rest, long_rest) per row of the plan.
 
     budget is target_share of all documents' tokens; passes are the whole passes over the source and rest the tokens still
-    to take then, both within max_repeats. A source without documents has size 0 and gets nothing; rows with null plan_id,
+    to take then, both within max_repeats; long_rest is the long documents' part of it. A source without documents has size 0 and gets nothing; rows with null plan_id,
     source or share are left out, a null max_repeats is 1, repeated (plan, source) rows are one.
     """
     total = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).scalar()
@@ -46,30 +49,40 @@ def budgets(docs: DataFrame, plan: DataFrame) -> DataFrame:
     p = p.withColumn("budget", F.col("target_share") * total)
     p = p.withColumn("passes", F.when(F.col("size") > 0, F.least(F.floor(F.col("budget") / F.col("size")), F.col("max_repeats"))).otherwise(0).cast("int"))
     rest = F.when((F.col("size") > 0) & (F.col("passes") < F.col("max_repeats")), F.col("budget") - F.col("passes") * F.col("size"))
-    return p.withColumn("rest", F.coalesce(rest, F.lit(0.0)))
+    p = p.withColumn("rest", F.coalesce(rest, F.lit(0.0)))
+    return p.withColumn("long_rest", F.when(F.col("size") > 0, F.col("rest") * F.col("long_size") / F.col("size")).otherwise(0.0)).drop("long_size")
 
 
 def permuted(docs: DataFrame, seed: int = 7, bits: int = BLOCK_BITS) -> DataFrame:
-    """(doc_id, source, tokens, upto): each document's place in its source's permutation, as the tokens up to and with it."""
+    """(doc_id, source, tokens, long, upto): each document's place in the permutation of its source's long documents, or of the
+    others, as the tokens up to and with it."""
     h = F.xxhash64(F.lit(seed), "doc_id")
-    rows = docs.filter("source is not null").select("doc_id", "source", "tokens", h.alias("h"), F.shiftrightunsigned(h, 64 - bits).alias("block"))
-    sums = rows.groupBy("source", "block").agg(F.sum("tokens").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = Window.partitionBy("source", "block").orderBy("h", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    kind = ["source", "long"]
+    rows = docs.filter("source is not null").select("doc_id", "source", (F.col("tokens") > LONG).alias("long"), "tokens", h.alias("h"), F.shiftrightunsigned(h, 64 - bits).alias("block"))
+    sums = rows.groupBy(*kind, "block").agg(F.sum("tokens").alias("t"))
+    before = F.coalesce(F.sum("t").over(Window.partitionBy(*kind).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = Window.partitionBy(*kind, "block").orderBy("h", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("inside", F.sum("tokens").over(inside))
-    rows = rows.join(sums.select("source", "block", before.alias("before")), ["source", "block"])
-    return rows.select("doc_id", "source", "tokens", (F.col("before") + F.col("inside")).alias("upto"))
+    rows = rows.join(sums.select(*kind, "block", before.alias("before")), [*kind, "block"])
+    return rows.select("doc_id", *kind, "tokens", (F.col("before") + F.col("inside")).alias("upto"))
 
 
 def selection(docs: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     """(plan_id, source, doc_id, tokens, times): how often each document is used by each plan, if at all.
 
-    The prefix ends at the document whose middle passes the rest, so a source misses its target by half a document at most,
-    unless max_repeats holds it down. Documents without source belong to none but count in the size aimed at; empty texts
+    A prefix ends at the document whose middle passes its part of the rest, so a source misses its target by half a document of
+    LONG tokens at most, unless max_repeats holds it down or it has few documents that aren't long. Documents without source belong to none but count in the size aimed at; empty texts
     have no tokens and come along; an empty table gives no rows; further columns don't matter.
     """
-    rows = permuted(docs, seed).join(budgets(docs, plan), "source")
-    extra = F.when((F.col("rest") > 0) & (F.col("upto") - F.col("tokens") / 2 <= F.col("rest")), 1).otherwise(0)
+    goals, order = budgets(docs, plan), permuted(docs, seed)
+
+    def within(rest: str) -> Column:
+        return (F.col(rest) > 0) & (F.col("upto") - F.col("tokens") / 2 <= F.col(rest))
+
+    taken = order.filter("long").join(goals, "source").filter(within("long_rest")).groupBy("plan_id", "source").agg(F.sum("tokens").alias("taken"))
+    goals = goals.join(taken, ["plan_id", "source"], "left").withColumn("short_rest", F.col("rest") - F.coalesce("taken", F.lit(0)))
+    rows = order.join(goals, "source")
+    extra = F.when(F.when(F.col("long"), within("long_rest")).otherwise(within("short_rest")), 1).otherwise(0)
     rows = rows.withColumn("times", (F.col("passes") + extra).cast("int")).filter("times > 0")
     return rows.select("plan_id", "source", "doc_id", "tokens", "times")
 
