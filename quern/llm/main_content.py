@@ -7,7 +7,8 @@ can't contradict its ancestor.
 
 The trees are trained here, without given labels: pages that mark their headline with <h1> say by their own elements which lines
 are the article's (headings, paragraphs, items and quotations in the headline's container), and are fitted on twice, once with the
-elements hidden, so that pages of bare lines are judged by the other features. At most MAX_PAGES pages are fitted on.
+elements hidden, so that pages of bare lines are judged by the other features; and half of them once more as if they had no
+html, for trees of their own that judge pages without. At most MAX_PAGES pages are fitted on.
 """
 
 from __future__ import annotations
@@ -111,7 +112,8 @@ def _norm(text: str) -> str:
 class Page:
     """A page's non-blank lines with their features; number: where each stands in raw_text; container and label per line."""
 
-    def __init__(self, title, page, raw, counts, pages, name, words=None):
+    def __init__(self, title, page, raw, counts, pages, name):
+        self.without_dom = (title, None, raw, counts, pages, name)
         raw_lines = raw.replace("\r", "").split("\n")
         self.number = [i for i, x in enumerate(raw_lines) if x.strip()]
         texts = [raw_lines[i].strip() for i in self.number]
@@ -217,19 +219,23 @@ def word_odds(pages: list[tuple[list[str], np.ndarray]], least: int = 3) -> dict
 
 
 class Model:
-    def __init__(self, trees: Trees | None, odds: dict[str, float]):
-        self.trees, self.odds = trees, odds
+    """trees judge lines of pages with html, blocks those of pages without; odds are those of words."""
+
+    def __init__(self, trees: Trees | None, blocks: Trees | None, odds: dict[str, float]):
+        self.trees, self.blocks, self.odds = trees, blocks, odds
 
     def article(self, pages: list[Page]) -> list[np.ndarray]:
         """Which lines of each page are the article's."""
         filled = [p for p in pages if p.texts]
         if not filled or self.trees is None:
             return [np.zeros(len(p.texts), dtype=bool) for p in pages]
-        logit = self.trees.logit(np.concatenate([p.features(self.odds) for p in filled]))
-        out, at = {}, 0
-        for p in filled:
-            out[id(p)] = decode(p, logit[at : at + len(p.texts)])
-            at += len(p.texts)
+        out = {}
+        for trees, some in ((self.trees, [p for p in filled if p.aligned]), (self.blocks, [p for p in filled if not p.aligned])):
+            if some:
+                logit, at = trees.logit(np.concatenate([p.features(self.odds) for p in some])), 0
+                for p in some:
+                    out[id(p)] = decode(p, logit[at : at + len(p.texts)])
+                    at += len(p.texts)
         return [out.get(id(p), np.zeros(0, dtype=bool)) for p in pages]
 
 
@@ -246,14 +252,16 @@ def fit(pages: list[Page]) -> Model:
     """A model of those pages that mark their headline; without any it calls nothing article."""
     known = [(p, y) for p in pages if p.texts and (y := p.labels()) is not None and 0 < y.sum() < len(y)]
     if len(known) < 4:
-        return Model(None, {})
+        return Model(None, None, {})
     halves = [word_odds([(p.texts, y) for k, (p, y) in enumerate(known) if k % 2 != h]) for h in (0, 1)]
     x = np.concatenate([p.features(halves[k % 2]) for k, (p, _) in enumerate(known)])
     y = np.concatenate([y for _, y in known])
     hidden = x.copy()
     hidden[:, ELEMENT.start] = 0
     trees = Trees().fit(np.concatenate([x, hidden]), np.concatenate([y, y]))
-    return Model(trees, word_odds([(p.texts, y) for p, y in known]))
+    bare = [(Page(*p.without_dom).features(halves[k % 2]), y) for k, (p, y) in enumerate(known) if k % 4 < 2]
+    blocks = Trees().fit(np.concatenate([b for b, _ in bare]), np.concatenate([v for _, v in bare]))
+    return Model(trees, blocks, word_odds([(p.texts, y) for p, y in known]))
 
 
 def _pages(pdf: pd.DataFrame) -> list[Page]:
@@ -286,7 +294,7 @@ def fitted(described: DataFrame, max_pages: int = MAX_PAGES) -> Model:
     marked = described.filter(F.lower("html").contains("<h1")).withColumn("order", F.xxhash64("page_id"))
     last = marked.select("order").orderBy("order").limit(max_pages).agg(F.max("order")).first()[0]
     if last is None:
-        return Model(None, {})
+        return Model(None, None, {})
     return fit(_pages(marked.filter(F.col("order") <= last).orderBy("order").limit(max_pages).drop("order").toPandas()))
 
 
