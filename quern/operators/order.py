@@ -33,7 +33,7 @@ def ranked(df: DataFrame, order: list[Column], limit: int | None = None, name: s
     """
     if limit is not None:
         top = df.orderBy(*order).limit(limit)
-        return top.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+        return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     rows = cut(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
     part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
