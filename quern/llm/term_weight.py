@@ -44,7 +44,7 @@ def term_weights(postings: DataFrame, k1: float | None = 1.2, b: float = 0.75, i
         weight = F.log2(pages / F.col("d"))
     else:
         weight = F.log(1 + (pages - F.col("d") + 0.5) / (F.col("d") + 0.5))
-    return rows.select("page_id", "word", "cnt", "d", F.round(tf * weight, 6).alias("score"))
+    return rows.select("page_id", "word", F.col("cnt").cast("bigint").alias("cnt"), "d", F.round(tf * weight, 6).alias("score"))
 
 
 def most_distinctive(weights: DataFrame) -> DataFrame:
