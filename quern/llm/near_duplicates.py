@@ -6,7 +6,8 @@ over symbols. The join on signatures is multi-index: the signature is split into
 is indexed once for every way to leave ERRORS = 1 symbol out. By the pigeonhole principle two signatures with fewer than
 CHUNKS * (ERRORS + 1) differing symbols meet under at least one key; pairs beyond that distance meet under a key with the
 probabilities given in the README (0.996 at a similarity of 0.42, 0.999 at 0.46). Pairs that meet are first compared by a sketch
-of two bits per symbol that travels with the keys, and the few that remain by their whole sets, so what comes out is exact.
+of two bits per symbol that travels with the keys, those that remain by signatures of eight bits per symbol, and the few left by
+their whole sets, so what comes out is exact.
 
 Texts with equal sets are one class from the start and only a class's representative is indexed. The key join is a
 sort-merge join that AQE splits where a key or partition is hot; no group is gathered into one row or task.
@@ -29,10 +30,12 @@ CHUNKS, CHUNK, SYMBOL_BITS = 24, 4, 32
 SYMBOLS = CHUNKS * CHUNK
 #: Of the two-bit symbols of the sketch, as many may differ; a pair of similarity 0.42 differs in 41.8 +- 4.9 of 96.
 SKETCH_DISTANCE = 54
+#: Of the eight-bit symbols, as many may differ; a pair of similarity 0.42 differs in 55.5 +- 4.8 of 96.
+SIGNATURE_DISTANCE = 71
 #: Classes of equal texts with more pages than this aren't written out in all their pairs.
 EXPANDED = 200
 _WORD = re.compile("[一-鿿]|[^\\W_一-鿿]+")
-_SET_SCHEMA = "id bigint, shingles array<bigint>, same bigint, keys array<bigint>, s0 bigint, s1 bigint, s2 bigint"
+_SET_SCHEMA = "id bigint, shingles array<bigint>, same bigint, keys array<bigint>, sig array<bigint>, s0 bigint, s1 bigint, s2 bigint"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -106,6 +109,13 @@ def sketches(signature: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(two << shifts, axis=2).view(np.int64)
 
 
+def packed(signature: np.ndarray) -> np.ndarray:
+    """Eight bits of every symbol in SYMBOLS / 8 longs."""
+    eight = (_mixed(signature.astype(np.uint64) + _A) & np.uint64(255)).reshape(len(signature), SYMBOLS // 8, 8)
+    shifts = (np.arange(8, dtype=np.uint64) * np.uint64(8)).reshape(1, 1, 8)
+    return np.bitwise_or.reduce(eight << shifts, axis=2).view(np.int64)
+
+
 def _described(batches):
     known: dict[str, int] = {}
     for pdf in batches:
@@ -123,12 +133,12 @@ def _described(batches):
             same = [int(np.bitwise_xor.reduce(_mixed(s))) ^ len(s) for s in sets]
             yield pd.DataFrame({
                 "id": part["id"].to_numpy()[keep], "shingles": [s.view(np.int64) for s in sets], "same": np.array(same, dtype=np.uint64).view(np.int64),
-                "keys": list(chunk_keys(sig)), "s0": sketch[:, 0], "s1": sketch[:, 1], "s2": sketch[:, 2],
+                "keys": list(chunk_keys(sig)), "sig": list(packed(sig)), "s0": sketch[:, 0], "s1": sketch[:, 1], "s2": sketch[:, 2],
             })
 
 
 def described(texts: DataFrame) -> DataFrame:
-    """(id, shingles, same, keys, s0, s1, s2) of (id, text), for texts with at least WORDS words; written once."""
+    """(id, shingles, same, keys, sig, s0, s1, s2) of (id, text), for texts with at least WORDS words; written once."""
     return cut(texts.mapInPandas(_described, _SET_SCHEMA))
 
 
@@ -148,13 +158,27 @@ def _differing(a: str, b: str) -> Column:
     return total
 
 
+def _differing_symbols(a: str, b: str) -> Column:
+    """How many eight-bit symbols of the signatures differ."""
+    total = F.lit(0)
+    for k in range(SYMBOLS // 8):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
 def similar_representatives(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, jaccard), a < b: representatives whose sets have at least the similarity."""
     reps = sets.join(classes(sets).filter("id = rep").select("id"), "id", "left_semi")
     keys = reps.select("id", F.explode("keys").alias("key"), "s0", "s1", "s2")
     a, b = keys.alias("a"), keys.alias("b")
     near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (_differing("a", "b") <= SKETCH_DISTANCE))
-    pairs = cut(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    pairs = near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    signed = sets.select("id", "sig")
+    pairs = pairs.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(signed.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
+    pairs = cut(pairs.filter(_differing_symbols("x", "y") <= SIGNATURE_DISTANCE).select("a", "b"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     whole = sets.select("id", "shingles").join(needed, "id", "left_semi")
     pairs = pairs.join(whole.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")

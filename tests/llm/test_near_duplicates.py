@@ -108,11 +108,11 @@ def test_measured_recall_of_the_index(similarity, least):
         x = rnd.integers(0, 2**63, 2 * size - common, dtype=np.uint64)
         sets += [np.unique(x[:size]), np.unique(x[size - common :])]
     sig = nd.signatures(sets)
-    keys, two = nd.chunk_keys(sig), nd.sketches(sig).view(np.uint64)
+    keys, two, eight = nd.chunk_keys(sig), nd.sketches(sig).view(np.uint64), nd.packed(sig).view(np.uint8)
     for i in range(0, 2 * n, 2):
         x = two[i] ^ two[i + 1]
         differ = sum(int(v).bit_count() for v in (x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
-        found += bool(np.intersect1d(keys[i], keys[i + 1]).size) and differ <= nd.SKETCH_DISTANCE
+        found += bool(np.intersect1d(keys[i], keys[i + 1]).size) and differ <= nd.SKETCH_DISTANCE and (eight[i] != eight[i + 1]).sum() <= nd.SIGNATURE_DISTANCE
     assert found / n >= least
 
 
@@ -120,3 +120,12 @@ def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 102), (101, 102)]
     got = {r["v"]: r["component"] for r in nd.linked(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_symbol_distance_in_columns(spark):
+    rnd = np.random.default_rng(2)
+    a = rnd.integers(0, 256, (40, nd.SYMBOLS), dtype=np.uint8)
+    b = np.where(rnd.random(a.shape) < 0.5, a, rnd.integers(0, 256, a.shape, dtype=np.uint8)).astype(np.uint8)
+    rows = [(x.view(np.int64).tolist(), y.view(np.int64).tolist()) for x, y in zip(a, b)]
+    got = spark.createDataFrame(rows, "x array<bigint>, y array<bigint>").coalesce(1).select(nd._differing_symbols("x", "y").alias("n")).collect()
+    assert [r["n"] for r in got] == (a != b).sum(axis=1).tolist()
