@@ -4,14 +4,15 @@ A linear ranker is learnt from pairs of graded documents: a pair is a document a
 logistic model of the difference of their features. Features are means over the sentences of the whole text: of syntax (length,
 length of words) and of vocabulary. As few words occur in graded documents, vocabulary enters as registers: a mixture of
 word distributions, one for each of easy, plain and demanding writing, that starts from the sentences of graded documents and is
-fitted by expectation-maximization on those and a bounded sample of ungraded texts, so that languages with few graded texts get
-their words too. Isotonic regression of the graded documents' scores turns scores into levels.
+fitted by expectation-maximization on those and all other texts, so that languages with few graded texts get their words too. Isotonic regression of the graded documents' scores turns scores into levels.
 
-Fitting happens on the driver, on at most MAX_GRADED + MAX_UNGRADED texts; scoring runs over every text, in Arrow batches.
+The vocabulary and the registers are sums over every text, made in Arrow batches, of which the driver gets a row for each word; the
+ranker and the levels are fitted on the driver, on at most MAX_GRADED graded texts. Scoring runs over every text, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 from collections import Counter
 
@@ -20,10 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.sources.tables import spread
+from quern.sources.tables import cut, spread
 
-#: Bounds of what is fitted on: graded documents, and further texts for the vocabulary.
-MAX_GRADED, MAX_UNGRADED, MAX_WORDS = 4000, 3000, 40_000
+#: Bound of the graded documents that are fitted on, and in how many texts a word of the vocabulary is.
+MAX_GRADED, LEAST_TEXTS = 4000, 3
 DEMANDING = 3.5
 #: Grades at which easy, plain and demanding writing is purest.
 PURE = np.array([1.0, 2.7, 5.0])
@@ -137,39 +138,69 @@ class Model:
         return scores, [None if x is None else float(np.interp(x, self.at, self.level)) for x in scores]
 
 
-def fit_registers(model: Model, texts: list[str], grades: list[float | None], rounds: int = 20) -> None:
-    """Expectation-maximization over the sentences of all texts; a grade gives its sentences their prior."""
-    parts, priors, weight = [], [], []
-    for t, g in zip(texts, grades):
-        words, place, size, letters = model.split(t)
-        if not len(size):
-            continue
-        parts.append((words, place, size, letters))
-        priors.append(np.tile(np.zeros(3) if g is None else -((g - PURE) ** 2), (len(size), 1)))
-        weight.append(np.full(len(size), 0.0 if g is None else 1.0))
-    shift = np.cumsum([0] + [len(p[2]) for p in parts])[:-1]
-    words, size, letters = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
-    place = np.concatenate([p[1] + s for p, s in zip(parts, shift)])
-    prior, graded = np.concatenate(priors), np.concatenate(weight)
-    p = np.exp(prior)
-    p /= p.sum(axis=1, keepdims=True)
+#: What a sentence of a graded document counts in the registers; others count 1.
+GRADED = 3.0
+_CODED = "words binary, size binary, n binary"
+
+
+def coded(model: Model, texts, most: int = 50_000):
+    """(words, size, n) as bytes, in parts of about `most` sentences: the ids and length of each distinct sentence, and how often it is there."""
+    seen: Counter[bytes] = Counter()
+    for text in texts:
+        words, _, size, _ = model.split(text if isinstance(text, str) else None)
+        ids, at = words.astype(np.int32).tobytes(), 0
+        for end in (4 * np.cumsum(size)).tolist():
+            seen[ids[at:end]] += 1
+            at = end
+        if len(seen) >= most:
+            yield _part(seen)
+            seen.clear()
+    if seen:
+        yield _part(seen)
+
+
+def _part(seen: Counter[bytes]) -> tuple[bytes, bytes, bytes]:
+    return b"".join(seen), np.array([len(x) // 4 for x in seen], dtype=np.int32).tobytes(), np.array(list(seen.values()), dtype=np.int32).tobytes()
+
+
+def register_sums(model: Model, part: tuple[bytes, bytes, bytes], p=None, log_prior=None) -> np.ndarray:
+    """By register: the mass of each word, then for each script that of its sentences and the sums of (log words, letters a word)
+    and of their squares. p: the sentences' probabilities, where the model's registers don't give them."""
+    words, size, n = (np.frombuffer(x, dtype=np.int32) for x in part)
+    place = np.repeat(np.arange(len(size)), size)
+    letters = np.add.reduceat(model.lengths[words], np.cumsum(size) - size)
+    mass = (model.registers(words, place, size, letters, log_prior) if p is None else p) * n[:, None]
     script, s = model.syntax(size, letters)
+    s = np.concatenate([np.ones((len(s), 1)), s, s**2], axis=1)
+    each = [np.bincount(words, mass[place, r], len(model.lengths)) for r in range(len(PURE))]
+    return np.concatenate([np.stack(each, axis=1)] + [s[script == c].T @ mass[script == c] for c in (0, 1)])
+
+
+def fit_registers(model: Model, graded: list[tuple[str, float]], ungraded, rounds: int = 20) -> None:
+    """Expectation-maximization over the sentences of all texts; a grade gives its sentences their prior. ungraded(model): the
+    register_sums of all other texts."""
+    parts = [(part, -((g - PURE) ** 2)) for t, g in graded for part in coded(model, [t])]
+    if not parts:
+        return
+    at = len(model.lengths)
     for k in range(rounds):
-        mass = p * (graded * 3 if k == 0 else np.where(graded > 0, 3.0, 1.0))[:, None]
-        for r in range(len(PURE)):
-            n = np.bincount(words, mass[place, r], len(model.lengths)) + 0.2
-            model.logp[:, r] = np.log(n / n.sum())
-            for c in (0, 1):
-                m = mass[:, r] * (script == c)
-                total = m.sum() + 1e-9
-                if total < 5:  # nothing of this script yet: what holds for both
-                    m, total = mass[:, r], mass[:, r].sum() + 1e-9
-                mean = (m[:, None] * s).sum(0) / total
-                dev = np.sqrt((m[:, None] * (s - mean) ** 2).sum(0) / total)
+        sums = 0.0
+        for part, prior in parts:
+            first = np.exp(prior) / np.exp(prior).sum()
+            sums = sums + GRADED * register_sums(model, part, np.tile(first, (len(part[1]) // 4, 1)) if k == 0 else None, prior)
+        if k:
+            sums = sums + ungraded(model)
+        n = sums[:at] + 0.2
+        model.logp = np.log(n / n.sum(axis=0))
+        scripts = sums[at:].reshape(2, 5, len(PURE))
+        for c in (0, 1):
+            for r in range(len(PURE)):
+                x = scripts[c, :, r] if scripts[c, 0, r] >= 5 else scripts[:, :, r].sum(0)  # nothing of this script yet: what holds for both
+                mean = x[1:3] / (x[0] + 1e-9)
+                dev = np.sqrt(np.maximum(x[3:] / (x[0] + 1e-9) - mean**2, 0))
                 model.shape[c, r] = np.stack([mean, np.maximum(dev, (0.35, 0.6))], axis=1)
-        share = mass.sum(0)
+        share = scripts[:, 0].sum(0)
         model.log_prior = np.log((share + 1) / (share.sum() + 3))
-        p = model.registers(words, place, size, letters, np.where(graded[:, None] > 0, prior, model.log_prior))
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 500) -> np.ndarray:
@@ -205,15 +236,25 @@ def trustworthy(score: np.ndarray, y: np.ndarray, most: float = 0.9) -> np.ndarr
     return keep
 
 
+def _words_of(text: str) -> set[str]:
+    return {x.lower() for x in _TOKEN.findall(text)} - _ENDS
+
+
 def fit(graded: list[tuple[str, float]], ungraded: list[str]) -> Model:
     """A model of graded (text, grade) and further texts; without graded texts it gives no levels."""
     graded = [(t, float(g)) for t, g in graded if t and g is not None]
     texts = [t for t, _ in graded] + [t for t in ungraded if t]
-    df = Counter(w for t in texts for w in {x.lower() for x in _TOKEN.findall(t)})
-    model = Model({w: i for i, w in enumerate(w for w, n in df.most_common(MAX_WORDS) if n >= 3 and w not in _ENDS)})
+    df = Counter(w for t in texts for w in _words_of(t))
+    model = Model({w: i for i, w in enumerate(w for w, n in df.most_common() if n >= LEAST_TEXTS)})
+    parts = list(coded(model, texts[len(graded) :]))
+    return _ranked(model, graded, lambda m: sum((register_sums(m, x) for x in parts), 0.0))
+
+
+def _ranked(model: Model, graded: list[tuple[str, float]], ungraded) -> Model:
+    """The model with its registers, ranker and levels fitted; ungraded as for fit_registers."""
     if not graded:
         return model
-    fit_registers(model, texts, [g for _, g in graded] + [None] * (len(texts) - len(graded)))
+    fit_registers(model, graded, ungraded)
     rows = [(f, g) for (t, g) in graded if (f := model.features(t)) is not None]
     if rows:
         x, y = np.array([f for f, _ in rows]), np.array([g for _, g in rows])
@@ -224,15 +265,62 @@ def fit(graded: list[tuple[str, float]], ungraded: list[str]) -> Model:
     return model
 
 
-def fitted(documents: DataFrame, labels: DataFrame, max_graded: int = MAX_GRADED, max_ungraded: int = MAX_UNGRADED) -> Model:
-    """The model of the labels' documents (a document's grade is the mean of its raters') and a sample by hash of the others."""
+def vocabulary(documents: DataFrame) -> dict[str, int]:
+    """The words that at least LEAST_TEXTS of all documents have; the driver gets a row for each of these."""
+
+    def count(batches):
+        n: Counter[str] = Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                if isinstance(text, str):
+                    n.update(_words_of(text))
+            if len(n) > 500_000:
+                yield pd.DataFrame({"word": list(n), "n": list(n.values())})
+                n.clear()
+        yield pd.DataFrame({"word": list(n), "n": list(n.values())}).astype({"word": object, "n": "int64"})
+
+    rows = documents.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return {r["word"]: i for i, r in enumerate(rows.filter(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "word").collect())}
+
+
+def fitted(documents: DataFrame, labels: DataFrame, max_graded: int = MAX_GRADED) -> Model:
+    """The model of the labels' documents (a document's grade is the mean of its raters') and of all others."""
     grades = labels.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.avg("grade").alias("grade"))
     graded = documents.select("doc_id", "text").join(grades, "doc_id").filter("text is not null")
-    graded = graded.orderBy(F.xxhash64("doc_id"), "text").limit(max_graded).collect()
-    some = documents.filter("length(text) >= 100").select("text", F.xxhash64("doc_id", "text").alias("h"))
-    last = some.select("h").orderBy("h").limit(max_ungraded).agg(F.max("h")).first()[0]  # texts go to the driver only once chosen
-    others = [] if last is None else some.filter(F.col("h") <= last).orderBy("h").limit(max_ungraded).collect()
-    return fit([(r["text"], r["grade"]) for r in graded], [r["text"] for r in others])
+    graded = [r for r in graded.orderBy(F.xxhash64("doc_id"), "text").limit(max_graded).collect() if r["text"]]
+    if not graded:
+        return Model({})
+    spark = documents.sparkSession
+    texts = spread(documents.select("doc_id", "text"))
+    model = Model(vocabulary(texts))
+    chosen = spark.createDataFrame([(r["doc_id"],) for r in graded], documents.select("doc_id").schema).distinct()
+
+    def code(batches):
+        for part in coded(model, (t for pdf in batches for t in pdf["text"])):
+            yield pd.DataFrame([part], columns=["words", "size", "n"])
+
+    parts = cut(texts.join(F.broadcast(chosen), "doc_id", "left_anti").select("text").mapInPandas(code, _CODED))
+
+    def sums(now: Model) -> np.ndarray:
+        light = copy.copy(now)
+        light.vocabulary, light.tokens = {}, None
+        sent = spark.sparkContext.broadcast(light)
+
+        def add(batches):
+            total = np.zeros((len(sent.value.lengths) + 10, len(PURE)))
+            for pdf in batches:
+                for part in zip(pdf["words"], pdf["size"], pdf["n"]):
+                    total += register_sums(sent.value, part)
+            at = np.flatnonzero(total.any(axis=1))
+            yield pd.DataFrame({"id": at, "r0": total[at, 0], "r1": total[at, 1], "r2": total[at, 2]})
+
+        got = parts.mapInPandas(add, "id bigint, r0 double, r1 double, r2 double").groupBy("id").agg(*[F.sum(r).alias(r) for r in ("r0", "r1", "r2")]).toPandas()
+        sent.destroy()
+        out = np.zeros((len(now.lengths) + 10, len(PURE)))
+        out[got["id"].to_numpy()] = got[["r0", "r1", "r2"]].to_numpy()
+        return out
+
+    return _ranked(model, [(r["text"], float(r["grade"])) for r in graded], sums)
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -134,6 +134,20 @@ def test_reading_level_held_out(spark):
     assert hard == {r["doc_id"] for r in got if r["level"] is not None and r["level"] >= 3.5 and r["n_chars"] >= 200}
 
 
+def test_registers_are_fitted_on_every_document(spark):
+    rnd = random.Random(4)
+    graded = [(text_of(rnd, 1 + i % 5), 1 + i % 5) for i in range(20)]
+    others = [text_of(rnd, 1 + i % 5, 3) for i in range(3100)] + ["Seldom zyxwords."] * 3
+    schema = "doc_id bigint, text string, n_chars bigint"
+    df = spark.createDataFrame([(i, t, 3) for i, t in enumerate([t for t, _ in graded] + others)], schema).repartition(5)
+    marks = spark.createDataFrame([(i, g, "r") for i, (_, g) in enumerate(graded)], "doc_id bigint, grade int, rater string")
+    got, want = rl.fitted(df, marks), rl.fit(graded, others)
+    assert "zyxwords" in got.vocabulary and set(got.vocabulary) == set(want.vocabulary)
+    order = [want.vocabulary[w] for w in got.vocabulary]
+    assert np.allclose(got.logp[: len(order)], want.logp[order], atol=1e-6) and np.allclose(got.shape, want.shape)
+    assert np.allclose(got.weights, want.weights) and np.allclose(got.level, want.level)
+
+
 def test_reading_level_without_labels(spark):
     df = spark.createDataFrame([(1, "Some text is here. And there.", 3)], "doc_id bigint, text string, n_chars bigint")
     none = spark.createDataFrame([], "doc_id bigint, grade int, rater string")
