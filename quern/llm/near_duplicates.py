@@ -9,8 +9,8 @@ probabilities given in the README (0.996 at a similarity of 0.42, 0.999 at 0.46)
 of two bits per symbol that travels with the keys, those that remain by signatures of eight bits per symbol, and the few left by
 their whole sets, so what comes out is exact.
 
-Texts with equal sets are one class from the start and only a class's representative is indexed. The key join is a
-sort-merge join that AQE splits where a key or partition is hot; no group is gathered into one row or task.
+Texts with equal sets are one class from the start and only a class's representative is indexed; what comes out has every text of
+it. The key join is a sort-merge join that AQE splits where a key or partition is hot; no group is gathered into one row or task.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ SYMBOLS = CHUNKS * CHUNK
 SKETCH_DISTANCE = 54
 #: Of the eight-bit symbols, as many may differ; a pair of similarity 0.42 differs in 55.5 +- 4.8 of 96.
 SIGNATURE_DISTANCE = 71
-#: Classes of equal texts with more pages than this aren't written out in all their pairs.
+#: Texts that more pages than this have, letter for letter, aren't written out in all their pairs.
 EXPANDED = 200
 _WORD = re.compile("[一-鿿]|[^\\W_一-鿿]+")
-_SET_SCHEMA = "id bigint, shingles array<bigint>, same bigint, keys array<bigint>, sig array<bigint>, s0 bigint, s1 bigint, s2 bigint"
+_SET_SCHEMA = "id bigint, shingles array<bigint>, same bigint, copy bigint, keys array<bigint>, sig array<bigint>, s0 bigint, s1 bigint, s2 bigint"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -117,6 +117,8 @@ def packed(signature: np.ndarray) -> np.ndarray:
 
 
 def _described(batches):
+    import xxhash
+
     known: dict[str, int] = {}
     for pdf in batches:
         if len(known) > 2_000_000:
@@ -131,21 +133,27 @@ def _described(batches):
             sig = signatures(sets)
             sketch = sketches(sig)
             same = [int(np.bitwise_xor.reduce(_mixed(s))) ^ len(s) for s in sets]
+            copy = [xxhash.xxh64_intdigest(part["text"].iloc[i].encode("utf-8", "surrogatepass")) for i in keep]
             yield pd.DataFrame({
-                "id": part["id"].to_numpy()[keep], "shingles": [s.view(np.int64) for s in sets], "same": np.array(same, dtype=np.uint64).view(np.int64),
+                "id": part["id"].to_numpy()[keep], "shingles": [s.view(np.int64) for s in sets],
+                "same": np.array(same, dtype=np.uint64).view(np.int64), "copy": np.array(copy, dtype=np.uint64).view(np.int64),
                 "keys": list(chunk_keys(sig)), "sig": list(packed(sig)), "s0": sketch[:, 0], "s1": sketch[:, 1], "s2": sketch[:, 2],
             })
 
 
 def described(texts: DataFrame) -> DataFrame:
-    """(id, shingles, same, keys, sig, s0, s1, s2) of (id, text), for texts with at least WORDS words; written once."""
+    """(id, shingles, same, copy, keys, sig, s0, s1, s2) of (id, text), for texts with at least WORDS words; written once."""
     return cut(texts.mapInPandas(_described, _SET_SCHEMA))
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """(id, rep): texts whose sets of runs are equal have one representative, the smallest id."""
+    """(id, rep, n, first, copies): texts whose sets of runs are equal have one representative, the smallest id, and n is how many
+    they are; first and copies are the same of those that are equal letter for letter."""
     rep = sets.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return sets.select("id", "same").join(rep, "same", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    first = sets.groupBy("same", "copy").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    rows = sets.select("id", "same", "copy").join(rep, "same", "left").join(first, ["same", "copy"], "left")
+    one = F.lit(1).cast("bigint")
+    return rows.select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", one).alias("n"), F.coalesce("first", "id").alias("first"), F.coalesce("copies", one).alias("copies"))
 
 
 def _differing(a: str, b: str) -> Column:
@@ -171,7 +179,7 @@ def _differing_symbols(a: str, b: str) -> Column:
 
 def similar_representatives(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, jaccard), a < b: representatives whose sets have at least the similarity."""
-    reps = sets.join(classes(sets).filter("id = rep").select("id"), "id", "left_semi")
+    reps = sets.join(sets.groupBy("same").agg(F.min("id").alias("id")).select("id"), "id", "left_semi")
     keys = reps.select("id", F.explode("keys").alias("key"), "s0", "s1", "s2")
     a, b = keys.alias("a"), keys.alias("b")
     near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (_differing("a", "b") <= SKETCH_DISTANCE))
@@ -191,23 +199,21 @@ def similar_pages(pages: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """(page_id_a, page_id_b), a < b: all pairs of current pages with at least the similarity, equal texts among them.
 
     Pages with null raw_text or fewer than WORDS words have no runs and no pair; older fetches and copies of a row are left
-    out; very long texts are taken whole; an empty table gives no rows; further columns don't matter. A class of equal sets
-    with up to EXPANDED pages is written out in all its pairs, and in all its pairs with similar classes; of a larger class
-    every page comes with its representative, the smallest, and only that one with pages of other classes, as its pairs would
-    grow as the square of the rows. page_groups has every page's class in any case.
+    out; very long texts are taken whole; an empty table gives no rows; further columns don't matter. Different texts are
+    written out in all their pairs, those with equal sets too. Pages with one and the same text are, up to EXPANDED of them; of
+    more, every page comes with the first, the smallest, and only that one with other texts, as their pairs would grow as the
+    square of the rows. page_groups has the first of every page (copy_of), so that the pairs can be rebuilt.
     """
     sets = described(current_pages(pages, "raw_text").select(F.col("page_id").alias("id"), F.col("raw_text").alias("text")))
     of = cut(classes(sets))
-    sizes = of.filter("id <> rep").groupBy("rep").agg((F.count(F.lit(1)) + 1).alias("n"))
-    members = of.join(sizes, "rep")  # only of classes with more than one page
-    small = members.filter(F.col("n") <= EXPANDED).select("id", "rep")
-    shown = small.union(of.filter("id = rep").select("id", "rep").join(small.select("rep").distinct(), "rep", "left_anti").select("id", "rep"))
+    shown = of.filter((F.col("copies") <= EXPANDED) | (F.col("id") == F.col("first")))
     reps = similar_representatives(sets, similarity).select("a", "b")
     x, y = shown.select(F.col("id").alias("p"), F.col("rep").alias("a")), shown.select(F.col("id").alias("q"), F.col("rep").alias("b"))
     between = reps.join(x, "a").join(y, "b").select(F.least("p", "q").alias("page_id_a"), F.greatest("p", "q").alias("page_id_b"))
-    inside = small.select("rep", F.col("id").alias("page_id_a")).join(small.select("rep", F.col("id").alias("page_id_b")), "rep")
+    many = shown.filter("n > 1")
+    inside = many.select("rep", F.col("id").alias("page_id_a")).join(many.select("rep", F.col("id").alias("page_id_b")), "rep")
     inside = inside.filter("page_id_a < page_id_b").select("page_id_a", "page_id_b")
-    star = members.filter((F.col("n") > EXPANDED) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("page_id_a"), F.col("id").alias("page_id_b"))
+    star = of.filter((F.col("copies") > EXPANDED) & (F.col("id") > F.col("first"))).select(F.col("first").alias("page_id_a"), F.col("id").alias("page_id_b"))
     return between.unionByName(inside).unionByName(star)
 
 
@@ -238,14 +244,18 @@ def linked(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def page_groups(pages: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(page_id, group_id, links): every current page with text, the smallest page_id of its group, and the number of
-    different texts it is directly linked with. Pages without a run of WORDS words are groups of their own."""
+    """(page_id, group_id, links, copy_of): every current page with text, the smallest page_id of its group, the number of different
+    texts it is directly linked with, and the smallest page_id with the very same text. Pages without a run of WORDS words are groups
+    of their own, and copies of none."""
     all_ids = current_pages(pages, "raw_text").select(F.col("page_id").alias("id"), F.col("raw_text").alias("text"))
     sets = described(all_ids)
     of = cut(classes(sets))
     edges = cut(similar_representatives(sets, similarity).select("a", "b"))
     groups = linked(edges)
-    links = edges.select(F.col("a").alias("rep")).union(edges.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    texts = of.filter("id = first").groupBy("rep").agg(F.count(F.lit(1)).alias("texts"))
+    ends = edges.select(F.col("a").alias("near"), F.col("b").alias("rep")).union(edges.select(F.col("b").alias("near"), F.col("a").alias("rep")))
+    links = ends.join(texts, "rep").groupBy("near").agg(F.sum("texts").alias("links")).withColumnRenamed("near", "rep")
     rows = all_ids.filter("text is not null").select("id").join(of, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    rows = rows.join(groups.withColumnRenamed("v", "rep"), "rep", "left").join(links, "rep", "left")
-    return rows.select(F.col("id").alias("page_id"), F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = rows.join(groups.withColumnRenamed("v", "rep"), "rep", "left").join(links, "rep", "left").join(texts, "rep", "left")
+    others = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("texts") - 1, F.lit(0))
+    return rows.select(F.col("id").alias("page_id"), F.coalesce("component", "rep").alias("group_id"), others.alias("links"), F.coalesce("first", "id").alias("copy_of"))

@@ -80,6 +80,19 @@ def test_many_copies_come_as_a_star(spark, monkeypatch):
     assert {r["group_id"] for r in rows} == {0} and {r["links"] for r in rows} == {1}
 
 
+def test_only_copies_letter_for_letter_come_as_a_star(spark, monkeypatch):
+    monkeypatch.setattr(nd, "EXPANDED", 10)
+    base = "the very same words in each of them stand here again"
+    texts = [base] * 20 + [base.upper(), base.replace(" ", "\n"), base + "!"] + ["the very same words in each of them stand here today"]
+    got = {(r["page_id_a"], r["page_id_b"]) for r in nd.similar_pages(frame(spark, texts)).collect()}
+    assert got == {(0, i) for i in range(1, 24)} | {(i, j) for i in range(20, 24) for j in range(i + 1, 24)}
+    rows = nd.page_groups(frame(spark, texts)).collect()
+    copy_of = {r["page_id"]: r["copy_of"] for r in rows}
+    assert copy_of == {i: 0 if i < 20 else i for i in range(24)} and {r["links"] for r in rows} == {4}
+    shown = {(min(i, j), max(i, j)) for a, b in got for i in range(24) for j in range(24) if i != j and {copy_of[i], copy_of[j]} <= {copy_of[a], copy_of[b]}}
+    assert shown == wanted(texts)
+
+
 def test_empty(spark):
     assert nd.similar_pages(frame(spark, [])).count() == 0
     assert nd.page_groups(frame(spark, ["", None])).count() == 1
