@@ -129,6 +129,15 @@ def test_measured_recall_of_the_index(similarity, least):
     assert found / n >= least
 
 
+def test_the_sketch_loses_less_than_one_in_a_thousand():
+    rnd = np.random.default_rng(6)
+    a = rnd.integers(0, 2**32, (20_000, nd.SYMBOLS), dtype=np.uint32)
+    b = np.where(rnd.random(a.shape) < nd.SIMILARITY, a, rnd.integers(0, 2**32, a.shape, dtype=np.uint32)).astype(np.uint32)
+    x = (nd.sketches(a) ^ nd.sketches(b)).view(np.uint64)
+    differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1)
+    assert (differ > nd.SKETCH_DISTANCE).mean() < 0.001
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 102), (101, 102)]
     got = {r["v"]: r["component"] for r in nd.linked(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
