@@ -1,9 +1,9 @@
 """The lines of a page's own article (problem 5).
 
 Gradient-boosted trees over features of DOM nodes judge every line: of the line itself, of its element and of the container it
-stands in (subtree density, share of links, attribute tokens, depth, place among its siblings), of the page's title, and of how
-many pages of the site have the same line. Decoding is hierarchical: a container that isn't article has no article lines, so a line
-can't contradict its ancestor.
+stands in (size and share of links of its own lines and of its subtree, attribute tokens, depth, place among its siblings), of the
+page's title, and of how many pages of the site have the same line. Decoding is hierarchical: containers are judged from the leaves
+up and accepted from the body down, so a line can't contradict any ancestor, and a list within the article is judged with it.
 
 The trees are trained here, without given labels: pages that mark their headline with <h1> say by their own elements which lines
 are the article's (headings, paragraphs, items and quotations in the headline's container), and are fitted on twice, once with the
@@ -33,6 +33,7 @@ MAX_PAGES = 900
 _TAG = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>", re.S | re.I)
 _BODY = re.compile(r"^.*?<body[^>]*>", re.S | re.I)
 _CONTAINERS = frozenset("div td section article main aside nav footer header body table ul ol form".split())
+_LISTS = frozenset(("ul", "ol"))
 _TEXTUAL = {"p": 1, "li": 2, "h1": 3, "h2": 3, "h3": 3, "h4": 3, "blockquote": 4, "span": 5}
 _TOKENS = [re.compile(x, re.I) for x in (r"menu|nav|crumb", r"side|related|aside", r"foot|copy|legal", r"content|main|article|body|text", r"cookie|dialog|banner|consent", r"top|small|off|fix")]
 _TIME = re.compile(r"\d{1,4}[-./]\d{1,2}[-./]\d{1,4}|\d{1,2}:\d{2}")
@@ -160,6 +161,11 @@ class Page:
         in_lines = np.bincount(groups, minlength=m).astype(float)
         longest = np.zeros(m)
         np.maximum.at(longest, groups, size * (1 - self.link))
+        of_tree = np.stack([in_size, in_link, in_lines], axis=1)  # with all containers within
+        for c in range(m - 1, 0, -1):
+            if self.nodes[c][2] >= 0:
+                of_tree[self.nodes[c][2]] += of_tree[c]
+        tree_size, tree_link, tree_lines = of_tree.T
         plain = in_size - in_link
         order = np.argsort(-plain)
         rank = np.empty(m)
@@ -202,6 +208,7 @@ class Page:
             np.stack([self.element, np.full(n, 1.0 if self.aligned else 0.0)], axis=1), rows,
             np.stack([self.link, in_link[g] / np.maximum(in_size[g], 1), in_size[g] / whole, plain[g] / max(plain.sum(), 1), np.log(in_lines[g]), np.log(longest[g] + 1), rank[g], place[g], in_size[g] / in_lines[g]], axis=1),
             attrs[g],
+            np.stack([tree_link[g] / np.maximum(tree_size[g], 1), tree_size[g] / whole, np.log(tree_lines[g]), tree_size[g] / tree_lines[g]], axis=1),
         ], axis=1)
 
 
@@ -240,12 +247,28 @@ class Model:
 
 
 def decode(page: Page, logit: np.ndarray) -> np.ndarray:
-    """The likeliest labels in which lines are article only in containers that are: a container is if its lines' logits,
-    weighed by the root of their length and limited to +-4 each, are positive in sum where its likeliest lines are concerned."""
+    """The likeliest labels in which lines are article only in containers that are, within ancestors that allow it.
+
+    A container's own lines speak for it by the sum of their logits, weighed by the root of their length and limited to +-4 each.
+    From the leaves up, a container's subtree has its own sum and those of the subtrees within that are positive; from the body
+    down, a container is open if its parent is and its subtree is positive, and article if its own sum is positive too. A list
+    shares the sum of the article that it stands in.
+    """
     weight = np.sqrt([len(t) for t in page.texts])
-    score = np.clip(logit, -4, 4) * weight
-    total = np.bincount(page.container, score)
-    return (logit > 0) & (total[page.container] > 0)
+    own = np.bincount(page.container, np.clip(logit, -4, 4) * weight, len(page.nodes))
+    tree = own.copy()
+    for c in range(len(own) - 1, 0, -1):
+        parent = page.nodes[c][2]
+        if parent >= 0:
+            tree[parent] += max(tree[c], 0.0)
+    is_open, total = np.ones(len(own), dtype=bool), own.copy()
+    for c, (tag, _, parent, _) in enumerate(page.nodes):
+        if parent < 0:  # the body, or a block of a page without html, has nothing above it
+            continue
+        shared = max(total[parent], 0.0) if tag in _LISTS and is_open[parent] else 0.0
+        total[c] += shared
+        is_open[c] = is_open[parent] and tree[c] + shared > 0
+    return (logit > 0) & (is_open & (total > 0))[page.container]
 
 
 def fit(pages: list[Page]) -> Model:

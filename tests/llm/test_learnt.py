@@ -99,6 +99,30 @@ def test_decoding_obeys_containers():
     assert mc.decode(p, np.array([-2.0, 3.0, -1.0])).tolist() == [False, True, False]
 
 
+def nested():
+    texts = ["side side side side", "more", "article article article", "item one two", "item three", "note"]
+    a, b, c, d, e, f = texts
+    html = f"<body><aside><a>{a}\n</a><div>{b}\n</div></aside><div><p>{c}\n</p><ul><li>{d}\n</li><li>{e}\n</li></ul><div>{f}</div></div></body>"
+    return mc.Page(None, html, "\n".join(texts), {}, 1, None)
+
+
+def test_decoding_obeys_all_ancestors():
+    p = nested()
+    assert p.aligned
+    # within a rejected aside nothing is article; a list within the article is judged with it, another container by itself
+    assert mc.decode(p, np.array([-3.0, 2.0, 3.0, -2.0, 1.0, -1.0])).tolist() == [False, False, True, False, True, False]
+    # an ancestor that only wraps the article, or has little against it, stays open
+    assert mc.decode(p, np.array([-0.1, 3.0, -1.0, -1.0, -1.0, 3.0])).tolist() == [False, True, False, False, False, True]
+
+
+def test_features_of_subtrees():
+    p = nested()
+    link, share, lines, _ = p.features({})[:, -4:].T
+    size = [len(t) for t in p.texts]
+    assert np.allclose(link[:2], [size[0] / (size[0] + size[1]), 0]) and np.allclose(share[2], sum(size[2:]) / sum(size))
+    assert np.allclose(lines, np.log([2, 1, 4, 2, 2, 1]))
+
+
 EASY = "The cat is {}. We like the {} dog. Look at the {} tree!".split(". ")
 HARD = "Notwithstanding the institutional {} of comprehensive methodologies, the resultant proliferation remains contingent upon heterogeneous architectures whose {} presupposes considerable reconciliation."
 PLAIN = "The library in the old {} district published its reports, and the council decided on Monday to renew the {} building."
