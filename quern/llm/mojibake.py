@@ -364,18 +364,19 @@ def _learnt(language, letters: str):
     return run
 
 
-def learnt_mappings(strange: DataFrame, language, letters: str, least: int = 40, widest: int = 400) -> DataFrame:
-    """(source, shown, letters): of each source the mapping learnt from its strange lines.
+def learnt_mappings(strange: DataFrame, language, letters: str, least: int = 40) -> DataFrame:
+    """(source, shown, letters): of each source the mapping learnt from its strange lines; lines without source are those of ''.
 
-    Only bigrams of symbols are gathered, summed by source, so a group has at most the square of the symbols; a source with fewer
-    than `least` of them, or with more than `widest` different ones, isn't a substitution cipher and gets none.
+    Only bigrams of symbols are gathered, summed by source, so a group has at most the square of the symbols. Symbols are those of
+    alphabets: what lies from U+2E80 on (Chinese and the like) parts a line as a blank does. A source with fewer than `least`
+    bigrams gets none.
     """
-    chars = F.split(F.concat(F.lit(" "), F.col("line"), F.lit(" ")), "")
+    line = F.regexp_replace("line", r"[^\x{0}-\x{2E7F}]+", " ")
+    chars = F.split(F.concat(F.lit(" "), line, F.lit(" ")), "")
     two = F.transform(F.sequence(F.lit(0), F.size(chars) - 2), lambda i: F.struct(F.get(chars, i).alias("a"), F.get(chars, i + 1).alias("b")))
-    counts = strange.filter("source is not null").select("source", F.explode(two).alias("p")).select("source", "p.a", "p.b")
+    counts = strange.select(F.coalesce("source", F.lit("")).alias("source"), F.explode(two).alias("p")).select("source", "p.a", "p.b")
     counts = counts.filter("length(a) = 1 and length(b) = 1 and (ascii(a) > 127 or ascii(b) > 127)").groupBy("source", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("source").agg(F.sum("n").alias("all"), F.approx_count_distinct("a").alias("symbols"))
-    some = sizes.filter((F.col("all") >= least) & (F.col("symbols") <= widest)).select("source")
+    some = counts.groupBy("source").agg(F.sum("n").alias("all")).filter(F.col("all") >= least).select("source")
     return counts.join(some, "source").groupBy("source").applyInPandas(_learnt(language, letters), "source string, shown string, letters string")
 
 
@@ -429,9 +430,11 @@ def swapped_fields(pages: DataFrame) -> DataFrame:
     letters = "".join(chr(c) for c in np.argsort(-singles)[:400].tolist() if 127 < c < 0x2E80 and chr(c).isalpha() and singles[c] > 0)[:80]
     strange = found.filter("cipher is null")
     learnt = cut(learnt_mappings(strange, language, letters))
-    judged = strange.join(learnt, "source").select("page_id", "field", "source", "line", "shown", "letters").mapInPandas(_judged(language), _CANDIDATE)
+    learnt = learnt.withColumnRenamed("source", "key")
+    of_source = F.coalesce("source", F.lit("")) == F.col("key")
+    judged = strange.join(learnt, of_source).select("page_id", "field", "source", "line", "shown", "letters").mapInPandas(_judged(language), _CANDIDATE)
     out = fitted(found.filter("cipher is not null").unionByName(judged))
-    return out.join(learnt, "source", "left")
+    return out.join(learnt, of_source, "left").drop("key")
 
 
 def _restored(batches):

@@ -97,6 +97,21 @@ def test_a_cipher_that_no_table_has_is_learnt():
     assert all(lm.score(g.translate(str.maketrans(mapping))) > lm.score(g) for g in garbled)
 
 
+def test_a_mapping_is_learnt_beside_rare_chinese_and_without_url(spark):
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.sample(RUSSIAN.lower().split(" "), 12)) for _ in range(300)]
+    lm = language(texts)
+    letters = sorted({c for c in "".join(texts) if ord(c) > 127})
+    shown = {c: c.encode("koi8-r").decode("cp1251") for c in letters}
+    lines = [t.translate(str.maketrans(shown)) for t in texts[:150]]
+    rows = [(s, x) for s in ("a.test", None) for x in lines] + [("a.test", "".join(chr(0x4E00 + 7 * k) for k in range(600))), ("b.test", "".join(chr(0x4E00 + k) for k in range(90)))]
+    strange = spark.createDataFrame(rows, "source string, line string")
+    got = {r["source"]: str.maketrans(r["shown"], r["letters"]) for r in mb.learnt_mappings(strange, spark.sparkContext.broadcast(lm), "".join(letters)).collect()}
+    assert set(got) == {"a.test", ""}
+    for table in got.values():
+        assert sum(a == b for g, t in zip(lines, texts) for a, b in zip(g.translate(table), t)) > 0.9 * sum(map(len, lines))
+
+
 def test_mapping_of_nothing():
     assert mb.learn_mapping({}, language(["é à"]), "éà") == {}
 
