@@ -35,6 +35,8 @@ LEAST_GAIN, LEAST_SHARE, PLAIN, STRANGE = 3.0, 1e-3, -4.0, -9.0
 #: The mean log-likelihood that a reading only suggested by likelihood must reach.
 BELIEVED = -5.0
 LOST_BYTES = "lost bytes"
+#: A task forgets the pieces it has read when it has more than this.
+KNOWN = 200_000
 _PIECES = re.compile(r"[<>\n]")
 _CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic")
 _ENTITY = re.compile(r"&#(\d{3,6});")
@@ -253,8 +255,6 @@ class Reader:
         self.language, self.known = language, {}
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > 200_000:
-            self.known.clear()
         for piece, mean in zip(pieces, self.language.means(pieces)):
             gains, as_is = {}, None
             looks = looks_swapped(piece)
@@ -271,6 +271,8 @@ class Reader:
 
     def read(self, fields: dict[str, str]) -> dict[str, tuple[dict[str, float], list[str]]]:
         """Of each field, the summed gain of each cipher, and the pieces that are unlikely but gain by none."""
+        if len(self.known) > KNOWN:
+            self.known.clear()  # before the page's own pieces are looked up, so that all of them are read
         pieces = {f: {x for x in _PIECES.split(_plain_text(t)) if not x.isascii()} for f, t in fields.items()}
         new = [x for x in set().union(*pieces.values()) if x not in self.known] if pieces else []
         if new:
@@ -280,7 +282,7 @@ class Reader:
             gains: dict[str, float] = {}
             strange = []
             for x in pieces[f]:
-                found, odd = self.known.get(x) or ({}, False)
+                found, odd = self.known[x]
                 for k, g in found.items():
                     gains[k] = gains.get(k, 0.0) + g
                 if odd:

@@ -112,6 +112,16 @@ def test_a_mapping_is_learnt_beside_rare_chinese_and_without_url(spark):
         assert sum(a == b for g, t in zip(lines, texts) for a, b in zip(g.translate(table), t)) > 0.9 * sum(map(len, lines))
 
 
+def test_a_page_keeps_its_known_pieces_when_the_reader_forgets():
+    reader = mb.Reader(language([FRENCH] * 50))
+    line = FRENCH.encode().decode("latin-1")
+    first = reader.read({"raw_text": line})
+    assert first["raw_text"][0]["utf-8 as western"] > mb.LEAST_GAIN
+    reader.known.update({f"é{k}": ({}, False) for k in range(mb.KNOWN + 1)})
+    again = reader.read({"raw_text": line + "\nune ligne très nouvelle"})
+    assert again["raw_text"][0] == first["raw_text"][0] and len(reader.known) == 2
+
+
 def test_mapping_of_nothing():
     assert mb.learn_mapping({}, language(["é à"]), "éà") == {}
 
