@@ -2,19 +2,23 @@
 
 A linear ranker is learnt from pairs of graded documents: a pair is a document and one of a lower grade, and the ranker is the
 logistic model of the difference of their features. Features are means over the sentences of the whole text: of syntax (length,
-length of words) and of vocabulary. As few words occur in graded documents, vocabulary enters as registers: a mixture of
-word distributions, one for each of easy, plain and demanding writing, that starts from the sentences of graded documents and is
-fitted by expectation-maximization on those and all other texts, so that languages with few graded texts get their words too. Isotonic regression of the graded documents' scores turns scores into levels.
-
-The vocabulary and the registers are sums over every text, made in Arrow batches, of which the driver gets a row for each word; the
-ranker and the levels are fitted on the driver, on at most MAX_GRADED graded texts. Scoring runs over every text, in Arrow batches.
+length of words, each against what is usual in the sentence's script) and of vocabulary. As few words occur in graded documents,
+vocabulary enters as registers: a mixture of word distributions, one for each of easy, plain and demanding writing, that starts
+from the sentences of graded documents and is fitted by expectation-maximization on those and all other texts, so that languages
+with few graded texts get their words too. Isotonic regression turns scores into levels: of medians, so that grades that are one
+off don't bend it, and on scores that each graded document gets from a ranker fitted without it.
+
+Texts are split into words once and kept as blocks of coded sentences in the shared folder; document counts, the rounds of the
+mixture and the scores read those. A word is one of SLOTS slots by hash, so the model and what the driver gets of a round have a
+fixed size. The ranker and the levels are fitted on the driver, on at most MAX_GRADED graded texts and MAX_PAIRS of their pairs.
 """
 
 from __future__ import annotations
 
 import copy
 import re
-from collections import Counter
+import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,304 +27,337 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import cut, spread
 
-#: Bound of the graded documents that are fitted on, and in how many texts a word of the vocabulary is.
-MAX_GRADED, LEAST_TEXTS = 4000, 3
+#: Bounds of the graded documents and of the pairs that are fitted on, and in how many texts a word must be to count.
+MAX_GRADED, MAX_PAIRS, LEAST_TEXTS = 4000, 100_000, 3
 DEMANDING = 3.5
 #: Grades at which easy, plain and demanding writing is purest.
 PURE = np.array([1.0, 2.7, 5.0])
+SLOT_BITS, MOST_LETTERS = 18, 63
+SLOTS = 1 << SLOT_BITS
 _TOKEN = re.compile("[㐀-鿿]|[^\\W\\d_㐀-鿿]+|[.!?;。！？；\n]")
 _ENDS = frozenset(".!?;。！？；\n")
-_END, _NAME, _SKIP = -1, -2, -3
-#: A sentence of more tokens than LONG is taken as pieces of PIECE tokens.
+#: A sentence of more words than LONG is taken as pieces of PIECE words.
 LONG, PIECE = 120, 24
-WIDE = 6
-
+#: Sentences of a block, about.
+BLOCK = 50_000
+#: What a sentence of a graded document counts in the registers; others count 1.
+GRADED = 3.0
+#: Rounds of the mixture at most, and the change of a register's word distribution (as a sum over words) at which they end.
+ROUNDS, SETTLED = 30, 0.02
 
-class Tokens:
-    """Token ids of texts: words of the vocabulary, and for other words their length class; capitalised ones count as names."""
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.cache = vocabulary, {}
-        self.size = len(vocabulary) + WIDE  # the last ids are unknown words by length
+class _Codes(dict):
+    """The code of each token: the word's slot and its number of letters (0 for Chinese characters); -1 for ends of sentences."""
 
-    def id_of(self, token: str) -> int:
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
         if token in _ENDS:
-            return _END
-        low = token.lower()
-        k = self.vocabulary.get(low)
-        if k is None:
-            if token != low and not token.isupper():
-                return _NAME
-            k = len(self.vocabulary) + min(len(low) // 3, WIDE - 1)
-        return k
-
-    def of(self, text: str) -> np.ndarray:
-        cache, out = self.cache, []
-        if len(cache) > 500_000:
-            cache.clear()
-        for token in _TOKEN.findall(text):
-            k = cache.get(token)
-            if k is None:
-                k = cache[token] = self.id_of(token)
-            out.append(k)
-        return np.array(out, dtype=np.int64)
-
-
-def _sentences(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of the words, sentence of each, words and letters of each sentence); names and ends are taken out."""
-    place = np.cumsum(ids == _END)
-    keep = ids >= 0
-    words, place = ids[keep], place[keep]
+            code = -1
+        else:
+            low = token.lower()
+            letters = 0 if "㐀" <= token <= "鿿" else min(len(low), MOST_LETTERS)
+            code = zlib.crc32(low.encode("utf-8", "surrogatepass")) % SLOTS | letters << SLOT_BITS
+        self[token] = code
+        return code
+
+
+class Sentences(NamedTuple):
+    """words: codes, sentence after sentence; size: words of each sentence."""
+
+    words: np.ndarray
+    size: np.ndarray
+
+
+def split(text: str | None, codes: _Codes) -> Sentences:
+    """The sentences of a text, without empty ones."""
+    ids = np.array([codes[t] for t in _TOKEN.findall(text or "")], dtype=np.int32)
+    ends = ids < 0
+    words, place = ids[~ends], np.cumsum(ends)[~ends]
     if not len(words):
-        return words, place, np.empty(0), np.empty(0)
+        return Sentences(words, np.empty(0, dtype=np.int64))
     start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     size = np.diff(np.r_[start, len(place)])
-    inside = np.arange(len(place)) - np.repeat(start, size)
-    place = place * 1_000_000 + np.where(np.repeat(size, size) > LONG, inside // PIECE, 0)
-    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    size = np.diff(np.r_[start, len(place)])
-    return words, np.repeat(np.arange(len(start)), size), size, np.add.reduceat(lengths[words], start)
+    if size.max() > LONG:
+        inside = np.arange(len(place)) - np.repeat(start, size)
+        place = place * 1_000_000 + np.where(np.repeat(size, size) > LONG, inside // PIECE, 0)
+        size = np.diff(np.r_[np.flatnonzero(np.r_[True, place[1:] != place[:-1]]), len(place)])
+    return Sentences(words, size)
 
 
 class Model:
-    """vocabulary: words to ids; lengths: letters by id (0 for Chinese characters); logp: log probability of each id by register;
-    log_prior: of the registers; shape: means and deviations of (log words, letters a word) by script and register; weights: of
-    the ranker; at and level: the isotonic steps."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
-        self.lengths = np.array([0 if "㐀" <= w <= "鿿" else len(w) for w in vocabulary] + [3 * i + 1 for i in range(WIDE)], dtype=float)
-        self.logp = np.zeros((len(self.lengths), len(PURE)))
+    """known: which slots have a word of enough texts; logp: log probability of each slot by register; log_prior: of the registers;
+    shape: means and deviations of (log words, letters a word) by script and register; usual: the same by script; weights: of the
+    ranker; at and level: the isotonic steps."""
+
+    def __init__(self, known: np.ndarray | None = None):
+        self.known = np.zeros(SLOTS, dtype=bool) if known is None else known
+        self.logp = np.zeros((SLOTS, len(PURE)), dtype=np.float32)
         self.log_prior = np.zeros(len(PURE))
         self.shape = np.zeros((2, len(PURE), 2, 2))
+        self.usual = np.zeros((2, 2, 2))
         self.weights, self.at, self.level = np.zeros(5), np.empty(0), np.empty(0)
-        self.tokens: Tokens | None = None
 
-    def __getstate__(self):
-        return self.__dict__ | {"tokens": None}
-
-    def split(self, text: str | None):
-        if self.tokens is None:
-            self.tokens = Tokens(self.vocabulary)
-        return _sentences(self.tokens.of(text or ""), self.lengths)
-
-    def syntax(self, size: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def syntax(self, s: Sentences) -> tuple[np.ndarray, np.ndarray]:
         """Script (1: Chinese) and (log words, letters a word) of each sentence."""
-        return (letters < size).astype(int), np.stack([np.log(size), letters / size], axis=1)
+        letters = np.add.reduceat(s.words >> SLOT_BITS, np.cumsum(s.size) - s.size)
+        return (letters < s.size).astype(int), np.stack([np.log(s.size), letters / s.size], axis=1)
 
-    def registers(self, words, place, size, letters, log_prior=None) -> np.ndarray:
+    def registers(self, s: Sentences, log_prior=None) -> np.ndarray:
         """The probability of each register for each sentence."""
-        n = len(size)
-        log = np.stack([np.bincount(place, self.logp[words, k], n) for k in range(len(PURE))], axis=1)
-        log = log / np.maximum(1.0, size / 12)[:, None]
-        script, s = self.syntax(size, letters)
+        slots = s.words & (SLOTS - 1)
+        keep = self.known[slots]
+        place = np.repeat(np.arange(len(s.size)), s.size)[keep]
+        log = np.zeros((len(s.size), len(PURE)))
+        if len(place):
+            first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            log[place[first]] = np.add.reduceat(self.logp[slots[keep]], first, axis=0)
+        log /= np.maximum(1.0, s.size / 12)[:, None]
+        script, x = self.syntax(s)
         mean, dev = self.shape[script][..., 0], self.shape[script][..., 1]
-        log += -0.5 * (((s[:, None, :] - mean) / dev) ** 2).sum(2) - np.log(dev).sum(2)
+        log += -0.5 * (((x[:, None, :] - mean) / dev) ** 2).sum(2) - np.log(dev).sum(2)
         log += self.log_prior if log_prior is None else log_prior
-        log -= log.max(axis=1, keepdims=True)
-        p = np.exp(log)
+        p = np.exp(log - log.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
-    def features(self, text: str | None) -> np.ndarray | None:
-        """Means over sentences of at least two words: registers, log words, letters a word; None without any."""
-        words, place, size, letters = self.split(text)
-        many = size >= 2
-        if not many.any():
-            return None
-        script, s = self.syntax(size, letters)
-        s[:, 0] -= 0.5 * script
-        return np.r_[self.registers(words, place, size, letters)[many].mean(axis=0), s[many].mean(axis=0) * (0.2, 0.1)]
+    def features(self, s: Sentences, numbers: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of each text the means over its sentences of at least two words: registers, log words, letters a word; NaN without any.
+        numbers: the sentences of all texts, text after text; n: how many each has."""
+        out = np.full((len(n), len(PURE) + 2), np.nan)
+        if len(s.size):
+            script, x = self.syntax(s)
+            x = 0.2 * (x - self.usual[script][..., 0]) / self.usual[script][..., 1]
+            each = np.concatenate([self.registers(s), x], axis=1)
+            many = s.size[numbers] >= 2
+            of, numbers = np.repeat(np.arange(len(n)), n)[many], numbers[many]
+            count = np.bincount(of, minlength=len(n))
+            some = count > 0
+            for k in range(out.shape[1]):
+                out[some, k] = (np.bincount(of, each[numbers, k], len(n)) / np.maximum(count, 1))[some]
+        return out
+
+    def grade(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, levels): NaN for texts without a sentence, and where nothing was graded."""
+        if not len(self.at):
+            return np.full(len(features), np.nan), np.full(len(features), np.nan)
+        score = features @ self.weights
+        return score, np.where(np.isnan(score), np.nan, np.interp(score, self.at, self.level))
 
-    def grade(self, texts: list[str | None]) -> tuple[list[float | None], list[float | None]]:
-        """(scores, levels): null for null texts, those without a sentence, and where nothing was graded."""
-        f = [self.features(t) for t in texts]
-        scores = [None if x is None or not len(self.at) else float(x @ self.weights) for x in f]
-        return scores, [None if x is None else float(np.interp(x, self.at, self.level)) for x in scores]
 
+def register_sums(model: Model, s: Sentences, n: np.ndarray | float = 1.0, p: np.ndarray | None = None, log_prior=None) -> np.ndarray:
+    """By register: the mass of each slot, then for each script that of its sentences and the sums of (log words, letters a word)
+    and of their squares. n: how often each sentence counts; p: their probabilities, where the model's registers don't give them."""
+    mass = (model.registers(s, log_prior) if p is None else p) * np.reshape(n, (-1, 1))
+    script, x = model.syntax(s)
+    x = np.concatenate([np.ones((len(x), 1)), x, x**2], axis=1)
+    slots = s.words & (SLOTS - 1)
+    place = np.repeat(np.arange(len(s.size)), s.size)
+    each = [np.bincount(slots, mass[place, r], SLOTS) for r in range(len(PURE))]
+    return np.concatenate([np.stack(each, axis=1) * model.known[:, None]] + [x[script == c].T @ mass[script == c] for c in (0, 1)])
 
-#: What a sentence of a graded document counts in the registers; others count 1.
-GRADED = 3.0
-_CODED = "words binary, size binary, n binary"
-
-
-def coded(model: Model, texts, most: int = 50_000):
-    """(words, size, n) as bytes, in parts of about `most` sentences: the ids and length of each distinct sentence, and how often it is there."""
-    seen: Counter[bytes] = Counter()
-    for text in texts:
-        words, _, size, _ = model.split(text if isinstance(text, str) else None)
-        ids, at = words.astype(np.int32).tobytes(), 0
-        for end in (4 * np.cumsum(size)).tolist():
-            seen[ids[at:end]] += 1
-            at = end
-        if len(seen) >= most:
-            yield _part(seen)
-            seen.clear()
-    if seen:
-        yield _part(seen)
-
-
-def _part(seen: Counter[bytes]) -> tuple[bytes, bytes, bytes]:
-    return b"".join(seen), np.array([len(x) // 4 for x in seen], dtype=np.int32).tobytes(), np.array(list(seen.values()), dtype=np.int32).tobytes()
-
-
-def register_sums(model: Model, part: tuple[bytes, bytes, bytes], p=None, log_prior=None) -> np.ndarray:
-    """By register: the mass of each word, then for each script that of its sentences and the sums of (log words, letters a word)
-    and of their squares. p: the sentences' probabilities, where the model's registers don't give them."""
-    words, size, n = (np.frombuffer(x, dtype=np.int32) for x in part)
-    place = np.repeat(np.arange(len(size)), size)
-    letters = np.add.reduceat(model.lengths[words], np.cumsum(size) - size)
-    mass = (model.registers(words, place, size, letters, log_prior) if p is None else p) * n[:, None]
-    script, s = model.syntax(size, letters)
-    s = np.concatenate([np.ones((len(s), 1)), s, s**2], axis=1)
-    each = [np.bincount(words, mass[place, r], len(model.lengths)) for r in range(len(PURE))]
-    return np.concatenate([np.stack(each, axis=1)] + [s[script == c].T @ mass[script == c] for c in (0, 1)])
-
-
-def fit_registers(model: Model, graded: list[tuple[str, float]], ungraded, rounds: int = 20) -> None:
+
+def _moments(x: np.ndarray, least: tuple[float, float]) -> np.ndarray:
+    mean = x[1:3] / (x[0] + 1e-9)
+    return np.stack([mean, np.maximum(np.sqrt(np.maximum(x[3:] / (x[0] + 1e-9) - mean**2, 0)), least)], axis=1)
+
+
+def fit_registers(model: Model, graded: list[tuple[Sentences, float]], ungraded, rounds: int = ROUNDS) -> int:
     """Expectation-maximization over the sentences of all texts; a grade gives its sentences their prior. ungraded(model): the
-    register_sums of all other texts."""
-    parts = [(part, -((g - PURE) ** 2)) for t, g in graded for part in coded(model, [t])]
-    if not parts:
-        return
-    at = len(model.lengths)
-    for k in range(rounds):
-        sums = 0.0
-        for part, prior in parts:
-            first = np.exp(prior) / np.exp(prior).sum()
-            sums = sums + GRADED * register_sums(model, part, np.tile(first, (len(part[1]) // 4, 1)) if k == 0 else None, prior)
+    register_sums of all other texts. The number of rounds it took."""
+    graded = [(s, g) for s, g in graded if len(s.size)]
+    word = None
+    if graded:
+        every = Sentences(np.concatenate([s.words for s, _ in graded]), np.concatenate([s.size for s, _ in graded]))
+        prior = -((np.repeat([g for _, g in graded], [len(s.size) for s, _ in graded])[:, None] - PURE) ** 2)
+        first = np.exp(prior) / np.exp(prior).sum(axis=1, keepdims=True)
+    for k in range(rounds if graded else 0):
+        sums = register_sums(model, every, GRADED, first if k == 0 else None, prior)
         if k:
             sums = sums + ungraded(model)
-        n = sums[:at] + 0.2
-        model.logp = np.log(n / n.sum(axis=0))
-        scripts = sums[at:].reshape(2, 5, len(PURE))
+        mass = (sums[:SLOTS] + 0.2) * model.known[:, None]
+        last, word = word, mass / np.maximum(mass.sum(axis=0), 1e-12)
+        model.logp = np.where(model.known[:, None], np.log(np.maximum(word, 1e-30)), 0.0).astype(np.float32)
+        scripts = sums[SLOTS:].reshape(2, 5, len(PURE))
         for c in (0, 1):
             for r in range(len(PURE)):
-                x = scripts[c, :, r] if scripts[c, 0, r] >= 5 else scripts[:, :, r].sum(0)  # nothing of this script yet: what holds for both
-                mean = x[1:3] / (x[0] + 1e-9)
-                dev = np.sqrt(np.maximum(x[3:] / (x[0] + 1e-9) - mean**2, 0))
-                model.shape[c, r] = np.stack([mean, np.maximum(dev, (0.35, 0.6))], axis=1)
+                # nothing of this script yet: what holds for both
+                model.shape[c, r] = _moments(scripts[c, :, r] if scripts[c, 0, r] >= 5 else scripts[:, :, r].sum(0), (0.35, 0.6))
+            model.usual[c] = _moments(scripts[c].sum(1), (0.05, 0.05))
         share = scripts[:, 0].sum(0)
         model.log_prior = np.log((share + 1) / (share.sum() + 3))
-
-
-def fit_pairs(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 500) -> np.ndarray:
-    """Weights of the logistic model of feature differences over all pairs of different grade, by gradient descent."""
-    pair = np.maximum(y[:, None] - y[None, :], 0)
-    pair = pair / max(pair.sum(), 1e-12)
+        if k > 1 and np.abs(word - last).sum(axis=0).max() < SETTLED:
+            return k + 1
+    return rounds
+
+
+def fit_pairs(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 500, most: int = MAX_PAIRS) -> np.ndarray:
+    """Weights of the logistic model of feature differences over pairs of different grade, each weighing as its difference, by
+    gradient descent; of more than `most` pairs a seeded sample."""
+    a, b = np.nonzero(y[:, None] > y[None, :])
+    if len(a) > most:
+        some = np.random.default_rng(7).choice(len(a), most, replace=False)
+        a, b = a[some], b[some]
     w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        f = x @ w
-        g = pair / (1 + np.exp(np.clip(f[:, None] - f[None, :], -30, 30)))
-        w += 5.0 * (x.T @ (g.sum(1) - g.sum(0)) - l2 * w)
+    if len(a):
+        d, share = x[a] - x[b], (y[a] - y[b]) / (y[a] - y[b]).sum()
+        for _ in range(steps):
+            w += 5.0 * ((share / (1 + np.exp(np.clip(d @ w, -30, 30)))) @ d - l2 * w)
     return w
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators; the least and greatest score of each pool and its level."""
-    pools: list[list[float]] = []  # least score, greatest score, sum of grades, count
-    for s, g in sorted(zip(score.tolist(), y.tolist())):
-        pools.append([s, s, g, 1])
-        while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
-            _, high, total, n = pools.pop()
-            pools[-1] = [pools[-1][0], high, pools[-1][2] + total, pools[-1][3] + n]
-    return np.array([s for p in pools for s in p[:2]]), np.array([p[2] / p[3] for p in pools for _ in "ab"])
+def cross_scores(x: np.ndarray, y: np.ndarray, doc: np.ndarray, weights: np.ndarray, folds: int = 5) -> np.ndarray:
+    """Scores of the rows by rankers fitted without their document, each brought to the scale of weights by its own rows' scores."""
+    score, order = x @ weights, np.random.default_rng(7).permutation(np.unique(doc))
+    if len(order) < 2 * folds:
+        return score
+    fold = dict(zip(order.tolist(), (np.arange(len(order)) % folds).tolist()))
+    of = np.array([fold[d] for d in doc.tolist()])
+    out = score.copy()
+    for k in range(folds):
+        rest = of != k
+        mine = x @ fit_pairs(x[rest], y[rest])
+        if np.ptp(mine[rest]) > 0:
+            out[~rest] = np.polyval(np.polyfit(mine[rest], score[rest], 1), mine[~rest])
+    return out
 
 
-def trustworthy(score: np.ndarray, y: np.ndarray, most: float = 0.9) -> np.ndarray:
-    """Which grades agree with the others: those that a fit without them puts less than `most` away. Graders are one off at times."""
-    keep = np.ones(len(y), dtype=bool)
-    if len(y) >= 8:
-        for i in range(len(y)):
-            rest = np.arange(len(y)) != i
-            keep[i] = abs(np.interp(score[i], *isotonic(score[rest], y[rest])) - y[i]) < most
-    return keep
+def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators by medians, which is isotonic regression by absolute differences; the least and greatest score of
+    each pool and its level."""
+    pools: list[tuple[float, float, list[float]]] = []
+    for s, g in sorted(zip(score.tolist(), y.tolist())):
+        pools.append((s, s, [g]))
+        while len(pools) > 1 and (pools[-2][1] == pools[-1][0] or np.median(pools[-2][2]) >= np.median(pools[-1][2])):
+            _, high, grades = pools.pop()
+            pools[-1] = (pools[-1][0], high, pools[-1][2] + grades)
+    return np.array([s for p in pools for s in p[:2]]), np.array([float(np.median(p[2])) for p in pools for _ in "ab"])
 
 
-def _words_of(text: str) -> set[str]:
-    return {x.lower() for x in _TOKEN.findall(text)} - _ENDS
+def ranked(model: Model, graded: list[tuple[Sentences, list[float]]]) -> Model:
+    """The model, whose registers are fitted, with its ranker and levels; every grade of a document is a row."""
+    f = [model.features(s, np.arange(len(s.size)), np.array([len(s.size)]))[0] for s, _ in graded]
+    rows = [(k, x, g) for k, (x, (_, grades)) in enumerate(zip(f, graded)) if not np.isnan(x).any() for g in grades]
+    if rows:
+        doc, x, y = (np.array(column) for column in zip(*rows))
+        model.weights = fit_pairs(x, y)
+        model.at, model.level = isotonic(cross_scores(x, y, doc, model.weights), y)
+    return model
 
 
-def fit(graded: list[tuple[str, float]], ungraded: list[str]) -> Model:
-    """A model of graded (text, grade) and further texts; without graded texts it gives no levels."""
-    graded = [(t, float(g)) for t, g in graded if t and g is not None]
-    texts = [t for t, _ in graded] + [t for t in ungraded if t]
-    df = Counter(w for t in texts for w in _words_of(t))
-    model = Model({w: i for i, w in enumerate(w for w, n in df.most_common() if n >= LEAST_TEXTS)})
-    parts = list(coded(model, texts[len(graded) :]))
-    return _ranked(model, graded, lambda m: sum((register_sums(m, x) for x in parts), 0.0))
+_CODED = "ids binary, null_id binary, n_chars binary, per_doc binary, numbers binary, words binary, size binary, n binary"
+
+
+def coded(batches, graded: set, block: int = BLOCK):
+    """Blocks of (doc_id, text) rows: ids and n_chars of the texts (-1 where the text is null), how many sentences each has, and
+    their numbers among the block's distinct sentences; of these the words, size, and n: how often texts that aren't graded have them."""
+    codes = _Codes()
+
+    def packed(rows, seen, n):
+        ids, chars, numbers = (list(c) for c in zip(*rows))
+        return (
+            np.array([0 if i is None else i for i in ids], dtype=np.int64).tobytes(), np.array([i is None for i in ids]).tobytes(), np.array(chars, dtype=np.int64).tobytes(),
+            np.array([len(x) for x in numbers], dtype=np.int32).tobytes(), np.array([x for part in numbers for x in part], dtype=np.int32).tobytes(),
+            b"".join(seen), np.array([len(x) // 4 for x in seen], dtype=np.int32).tobytes(), np.array(n, dtype=np.int32).tobytes(),
+        )
+
+    rows, seen, n = [], {}, []
+    for pdf in batches:
+        for doc, text in zip(pdf["doc_id"].astype(object), pdf["text"]):
+            doc = None if pd.isna(doc) else int(doc)
+            counts = doc not in graded
+            words, size = split(text if isinstance(text, str) else None, codes)
+            raw, at, numbers = words.tobytes(), 0, []
+            for end in (4 * np.cumsum(size)).tolist():
+                k = seen.setdefault(raw[at:end], len(seen))
+                at = end
+                if k == len(n):
+                    n.append(0)
+                n[k] += counts
+                numbers.append(k)
+            rows.append((doc, len(text) if isinstance(text, str) else -1, numbers))
+            if len(seen) >= block or len(rows) >= block:
+                yield pd.DataFrame([packed(rows, seen, n)], columns=[c.split()[0] for c in _CODED.split(", ")])
+                rows, seen, n = [], {}, []
+    if rows:
+        yield pd.DataFrame([packed(rows, seen, n)], columns=[c.split()[0] for c in _CODED.split(", ")])
 
 
-def _ranked(model: Model, graded: list[tuple[str, float]], ungraded) -> Model:
-    """The model with its registers, ranker and levels fitted; ungraded as for fit_registers."""
-    if not graded:
-        return model
-    fit_registers(model, graded, ungraded)
-    rows = [(f, g) for (t, g) in graded if (f := model.features(t)) is not None]
-    if rows:
-        x, y = np.array([f for f, _ in rows]), np.array([g for _, g in rows])
-        model.weights = fit_pairs(x, y)
-        score = x @ model.weights
-        keep = trustworthy(score, y)
-        model.at, model.level = isotonic(score[keep], y[keep])
-    return model
+def _sentences(words: bytes, size: bytes) -> Sentences:
+    return Sentences(np.frombuffer(words, dtype=np.int32), np.frombuffer(size, dtype=np.int32).astype(np.int64))
 
 
-def vocabulary(documents: DataFrame) -> dict[str, int]:
-    """The words that at least LEAST_TEXTS of all documents have; the driver gets a row for each of these."""
+def known_slots(blocks: DataFrame, least: int = LEAST_TEXTS) -> np.ndarray:
+    """Which slots have words of at least `least` texts; the driver gets at most SLOTS sums."""
 
     def count(batches):
-        n: Counter[str] = Counter()
+        total = np.zeros(SLOTS, dtype=np.int64)
         for pdf in batches:
-            for text in pdf["text"]:
-                if isinstance(text, str):
-                    n.update(_words_of(text))
-            if len(n) > 500_000:
-                yield pd.DataFrame({"word": list(n), "n": list(n.values())})
-                n.clear()
-        yield pd.DataFrame({"word": list(n), "n": list(n.values())}).astype({"word": object, "n": "int64"})
-
-    rows = documents.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: i for i, r in enumerate(rows.filter(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "word").collect())}
-
-
-def fitted(documents: DataFrame, labels: DataFrame, max_graded: int = MAX_GRADED) -> Model:
-    """The model of the labels' documents (a document's grade is the mean of its raters') and of all others."""
-    grades = labels.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.avg("grade").alias("grade"))
-    graded = documents.select("doc_id", "text").join(grades, "doc_id").filter("text is not null")
-    graded = [r for r in graded.orderBy(F.xxhash64("doc_id"), "text").limit(max_graded).collect() if r["text"]]
-    if not graded:
-        return Model({})
-    spark = documents.sparkSession
-    texts = spread(documents.select("doc_id", "text"))
-    model = Model(vocabulary(texts))
-    chosen = spark.createDataFrame([(r["doc_id"],) for r in graded], documents.select("doc_id").schema).distinct()
-
-    def code(batches):
-        for part in coded(model, (t for pdf in batches for t in pdf["text"])):
-            yield pd.DataFrame([part], columns=["words", "size", "n"])
-
-    parts = cut(texts.join(F.broadcast(chosen), "doc_id", "left_anti").select("text").mapInPandas(code, _CODED))
+            for words, size, per_doc, numbers in zip(pdf["words"], pdf["size"], pdf["per_doc"], pdf["numbers"]):
+                s, n = _sentences(words, size), np.frombuffer(per_doc, dtype=np.int32)
+                start = np.cumsum(s.size) - s.size
+                slots, at = s.words & (SLOTS - 1), 0
+                number = np.frombuffer(numbers, dtype=np.int32)
+                for k in n.tolist():
+                    mine = number[at : at + k]
+                    at += k
+                    if k:
+                        long = s.size[mine]
+                        place = np.arange(long.sum()) + np.repeat(start[mine] - (np.cumsum(long) - long), long)
+                        total[np.unique(slots[place])] += 1
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": some, "n": total[some]})
+
+    rows = blocks.select("words", "size", "per_doc", "numbers").mapInPandas(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    known = np.zeros(SLOTS, dtype=bool)
+    known[rows.filter(F.col("n") >= least).toPandas()["slot"].to_numpy(dtype=np.int64)] = True
+    return known
+
+
+def _ungraded(blocks: DataFrame):
+    """The function that gives fit_registers the sums of all blocks; the driver gets at most SLOTS + 10 of them a round."""
+    parts = blocks.select("words", "size", "n")
+    spark = blocks.sparkSession
 
     def sums(now: Model) -> np.ndarray:
-        light = copy.copy(now)
-        light.vocabulary, light.tokens = {}, None
-        sent = spark.sparkContext.broadcast(light)
+        sent = spark.sparkContext.broadcast(copy.copy(now))
 
         def add(batches):
-            total = np.zeros((len(sent.value.lengths) + 10, len(PURE)))
+            total = np.zeros((SLOTS + 10, len(PURE)))
             for pdf in batches:
-                for part in zip(pdf["words"], pdf["size"], pdf["n"]):
-                    total += register_sums(sent.value, part)
+                for words, size, n in zip(pdf["words"], pdf["size"], pdf["n"]):
+                    if len(size):
+                        total += register_sums(sent.value, _sentences(words, size), np.frombuffer(n, dtype=np.int32))
             at = np.flatnonzero(total.any(axis=1))
             yield pd.DataFrame({"id": at, "r0": total[at, 0], "r1": total[at, 1], "r2": total[at, 2]})
 
         got = parts.mapInPandas(add, "id bigint, r0 double, r1 double, r2 double").groupBy("id").agg(*[F.sum(r).alias(r) for r in ("r0", "r1", "r2")]).toPandas()
         sent.destroy()
-        out = np.zeros((len(now.lengths) + 10, len(PURE)))
-        out[got["id"].to_numpy()] = got[["r0", "r1", "r2"]].to_numpy()
+        out = np.zeros((SLOTS + 10, len(PURE)))
+        out[got["id"].to_numpy(dtype=np.int64)] = got[["r0", "r1", "r2"]].to_numpy()
         return out
 
-    return _ranked(model, [(r["text"], float(r["grade"])) for r in graded], sums)
+    return sums
+
+
+def graded_texts(documents: DataFrame, labels: DataFrame, max_graded: int = MAX_GRADED) -> list:
+    """Rows (doc_id, text, grades) of at most max_graded documents, chosen by hash; a rater's grades of a document are one, their mean."""
+    one = labels.filter("doc_id is not null and grade is not null").groupBy("doc_id", "rater").agg(F.avg("grade").alias("grade"))
+    grades = one.groupBy("doc_id").agg(F.sort_array(F.collect_list("grade")).alias("grades"))
+    rows = documents.select("doc_id", "text").filter("text <> ''").join(grades, "doc_id")
+    return sorted(rows.orderBy(F.xxhash64("doc_id"), "text").limit(max_graded).collect(), key=lambda r: (r["doc_id"], r["text"]))
+
+
+def fitted(documents: DataFrame, labels: DataFrame, max_graded: int = MAX_GRADED) -> tuple[Model, DataFrame]:
+    """The model of the labels' documents and all others, and the blocks of all documents."""
+    graded = graded_texts(documents, labels, max_graded)
+    chosen = {r["doc_id"] for r in graded}
+    blocks = cut(spread(documents.select("doc_id", "text")).mapInPandas(lambda batches: coded(batches, chosen), _CODED))
+    if not graded:
+        return Model(), blocks
+    model, codes = Model(known_slots(blocks)), _Codes()
+    texts = [(split(r["text"], codes), list(r["grades"])) for r in graded]
+    fit_registers(model, [(s, float(np.mean(g))) for s, g in texts], _ungraded(blocks))
+    return ranked(model, texts), blocks
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -328,17 +365,25 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     Texts that are null or have no sentence of two words have null score and level; n_chars is counted here, null for null
     texts; very long texts are read whole; repeated documents get a row each; labels of unknown documents don't matter, and
-    without any usable label every level is null; further columns don't matter.
+    without any usable label every level is null; an empty table gives no rows; further columns don't matter.
     """
-    model = documents.sparkSession.sparkContext.broadcast(fitted(documents, labels))
+    fit, blocks = fitted(documents, labels)
+    model = documents.sparkSession.sparkContext.broadcast(fit)
 
     def score(batches):
         for pdf in batches:
-            scores, levels = model.value.grade([t if isinstance(t, str) else None for t in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_chars": pdf["n_chars"], "score": pd.Series(scores, dtype="float64").round(6), "level": pd.Series(levels, dtype="float64").round(3)})
+            for b in pdf.itertuples(index=False):
+                ids, null = pd.Series(np.frombuffer(b.ids, dtype=np.int64)).astype("Int64"), np.frombuffer(b.null_id, dtype=bool)
+                chars = pd.Series(np.frombuffer(b.n_chars, dtype=np.int64)).astype("Int64")
+                f = model.value.features(_sentences(b.words, b.size), np.frombuffer(b.numbers, dtype=np.int32), np.frombuffer(b.per_doc, dtype=np.int32))
+                scores, levels = model.value.grade(f)
+                yield pd.DataFrame({"doc_id": ids.mask(null), "n_chars": chars.mask(chars < 0), "score": _nullable(scores, 6), "level": _nullable(levels, 3)})
+
+    return blocks.drop("n").mapInPandas(score, "doc_id bigint, n_chars bigint, score double, level double")
+
 
-    rows = spread(documents.select("doc_id", "text")).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "text")
-    return rows.mapInPandas(score, "doc_id bigint, n_chars bigint, score double, level double")
+def _nullable(x: np.ndarray, digits: int) -> pd.Series:
+    return pd.Series([None if np.isnan(v) else v for v in x.round(digits).tolist()], dtype="Float64")
 
 
 def demanding(documents: DataFrame, labels: DataFrame, least_chars: int = 200, least_level: float = DEMANDING) -> DataFrame:
