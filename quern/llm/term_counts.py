@@ -1,10 +1,11 @@
 """Frequency of every distinct word (problem 1).
 
-Copies and older postings fold into one on the map side, so a group of copies sends a row per map task. Then last-seen counters:
-postings are hash-partitioned by word and a salt of the page, and sorted by word and page. In that order a row opens a new
-record exactly when its page differs from the last page seen for the word, so a term's state is its occurrences, its records and
-the last page; no set of pages is kept. The salt splits a word that holds a large part of the rows, and since a page falls into
-one salt the parts' states just add up.
+Last-seen counters: postings are hash-partitioned by word and record (page) and stand in order of word, page and age, the newest
+first. In that order a row opens a new record exactly when its word and page differ from those last seen, so all that is kept
+while rows pass is the last word and page; a word's state is its occurrences and its records, no set of pages. The counter is a
+filter on row_number, which Spark runs as a group limit: on the map side first, so that a group of copies sends a row per map
+task, and again behind the one shuffle of rows. As a word's pages are spread over all tasks, a word that holds a large part of
+the rows burdens none, and since a page falls into one task the tasks' states just add up.
 """
 
 from __future__ import annotations
@@ -12,23 +13,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.latest import current_postings
 
-#: Parts of a word's pages at least; there are as many as shuffle partitions if those are more.
-SALTS = 32
+def new_records(postings: DataFrame) -> DataFrame:
+    """(word, cnt) of each row that opens a new record: the first that is seen of its word and page, which is the current posting."""
+    size = F.when(F.col("pos").isNotNull(), F.size("pos"))
+    rows = postings.filter(F.col("word").isNotNull() & F.col("page_id").isNotNull())
+    rows = rows.select("word", "page_id", F.coalesce("count_of_page", size, F.lit(0)).alias("cnt"), F.col("indexed_at").alias("at"))
+    seen = F.row_number().over(Window.partitionBy("word", "page_id").orderBy(F.col("at").desc_nulls_last()))
+    return rows.withColumn("seen", seen).filter("seen = 1").select("word", "cnt")
 
 
-def term_counts(postings: DataFrame, salts: int | None = None) -> DataFrame:
+def term_counts(postings: DataFrame) -> DataFrame:
     """(word, occurrences, records) of every non-null word, from its current postings.
 
     Rows with null word or page_id don't count; null counts are taken from pos, and are 0 where that is null too; copies and
     older postings count once; an empty table gives no rows; further columns don't matter.
     """
-    salts = salts or max(SALTS, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = current_postings(postings).withColumn("salt", F.pmod(F.hash("page_id"), F.lit(salts)))
-    last_seen = F.lag("page_id").over(Window.partitionBy("word", "salt").orderBy("page_id"))
-    states = rows.select("word", F.col("cnt").cast("bigint").alias("cnt"), (~F.col("page_id").eqNullSafe(last_seen)).alias("new"))
-    return states.groupBy("word").agg(F.sum("cnt").alias("occurrences"), F.count(F.when(F.col("new"), 1)).alias("records"))
+    return new_records(postings).groupBy("word").agg(F.sum(F.col("cnt").cast("bigint")).alias("occurrences"), F.count(F.lit(1)).alias("records"))
 
 
 def indexed_pages(postings: DataFrame) -> DataFrame:

@@ -41,6 +41,16 @@ def current(rows):
     return {k: v[1] for k, v in best.items()}
 
 
+def test_copies_open_no_record_and_leave_before_the_shuffle(spark):
+    at = datetime(2024, 1, 1)
+    rows = [("a", 1, 3, None, at)] * 500 + [("a", 1, 9, None, datetime(2023, 1, 1))] * 300 + [("a", 2, None, [4, 5], at), ("b", 1, 1, None, None)]
+    df = spark.createDataFrame(rows, "word string, page_id bigint, count_of_page int, pos array<int>, indexed_at timestamp").repartition(4)
+    got = {r["word"]: (r["occurrences"], r["records"]) for r in term_counts.term_counts(df).collect()}
+    assert got == {"a": (5, 2), "b": (1, 1)}
+    plan = term_counts.new_records(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # on the map side and behind the shuffle
+
+
 def test_term_counts_brute_force(spark):
     rows = some_postings()
     cur = current(rows)
@@ -49,8 +59,7 @@ def test_term_counts_brute_force(spark):
         occ, n = want.get(w, (0, 0))
         want[w] = (occ + c, n + 1)
     df = spark.createDataFrame(rows, POSTINGS).repartition(5)
-    for salts in (1, 7):
-        assert {r["word"]: (r["occurrences"], r["records"]) for r in term_counts.term_counts(df, salts).collect()} == want
+    assert {r["word"]: (r["occurrences"], r["records"]) for r in term_counts.term_counts(df).collect()} == want
     pages = len({p for _, p in cur})
     marks = {w: "rare" if n < 3 or o < 4 else "common" if n > 0.15 * pages else None for w, (o, n) in want.items()}
     assert {r["word"]: r["mark"] for r in term_counts.term_marks(df).collect()} == marks
