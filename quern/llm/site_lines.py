@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.urls import site
 from quern.operators.latest import current_pages
+from quern.sources.tables import cut
 
 MIN_PAGES, MIN_SHARE = 6, 0.03
 
@@ -43,7 +44,7 @@ def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     Pages without url have no site and so no repeated lines; pages with null raw_text count as pages only; empty lines never
     count; older fetches and copies are left out; an empty table gives no rows; further columns don't matter.
     """
-    lines = page_lines(pages)
+    lines = cut(page_lines(pages))  # read twice, and much smaller than the texts
     frequent = frequent_lines(lines, min_pages, min_share)
     each = lines.filter(F.col("site").isNotNull()).select("page_id", "site", F.posexplode("hashes").alias("line_no", "h"))
     return each.filter("h is not null").join(frequent, ["site", "h"], "left_semi").select("page_id", "line_no")
