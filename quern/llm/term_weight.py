@@ -52,10 +52,10 @@ def most_distinctive(weights: DataFrame) -> DataFrame:
 
     Pages are split into parts by a salt of the word. Before any shuffle, each task keeps only what ranks first in its part of a
     page (a rank filter becomes a group limit), so a page with a large part of the rows sends few of them. The parts' firsts are
-    then held against the page's greatest score.
+    then written once and held against the page's greatest score, by a join that AQE splits where very many words tie.
     """
     salt = F.pmod(F.hash("word"), F.lit(SALTS))
     first = F.rank().over(Window.partitionBy("page_id", "salt").orderBy(F.col("score").desc()))
-    firsts = weights.select("page_id", "word", "score", salt.alias("salt")).withColumn("first", first).filter("first = 1").select("page_id", "word", "score")
+    firsts = cut(weights.select("page_id", "word", "score", salt.alias("salt")).withColumn("first", first).filter("first = 1").select("page_id", "word", "score"))
     top = firsts.groupBy("page_id").agg(F.max("score").alias("score"))
     return firsts.join(top, ["page_id", "score"]).select("page_id", "word", "score")
