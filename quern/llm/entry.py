@@ -36,6 +36,17 @@ frequent AS (
   JOIN (SELECT site, count(*) AS pages FROM pages GROUP BY 1) s ON l.site = s.site
   WHERE n >= 6 AND n >= 0.03 * pages)"""
 
+_PAIRS = r"""
+cur AS (SELECT page_id, raw_text FROM (SELECT page_id, raw_text, row_number() OVER (PARTITION BY page_id ORDER BY fetched_at DESC NULLS LAST) AS rn FROM spider_v20 WHERE page_id IS NOT NULL)
+  WHERE rn = 1 AND raw_text IS NOT NULL),
+worded AS (SELECT page_id, regexp_extract_all(regexp_replace(lower(raw_text), '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS ws FROM cur),
+runs AS (SELECT DISTINCT page_id, unnest(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) AS r FROM worded WHERE len(ws) >= 4),
+sizes AS (SELECT page_id, count(*) AS n FROM runs GROUP BY 1),
+firsts AS (SELECT page_id, min(page_id) OVER (PARTITION BY raw_text) AS first FROM cur JOIN sizes USING (page_id)),
+shared AS (SELECT x.page_id AS a, y.page_id AS b, count(*) AS common FROM runs x JOIN runs y ON x.r = y.r AND x.page_id < y.page_id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM shared JOIN sizes x ON a = x.page_id JOIN sizes y ON b = y.page_id WHERE common >= 0.42 * (x.n + y.n - common)),
+shown AS (SELECT a, b FROM pairs JOIN firsts x ON a = x.page_id JOIN firsts y ON b = y.page_id WHERE (x.first = a AND y.first = b) OR y.first = a)"""
+
 
 def _postings(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "postings_list")
@@ -97,6 +108,15 @@ SELECT p.page_id, CASE WHEN p.raw_text IS NOT NULL THEN coalesce(k.text, '') END
 FROM pages p LEFT JOIN (
   SELECT l.page_id, string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (f.norm IS NULL) AS text, count(f.norm) AS removed
   FROM lines l LEFT JOIN frequent f ON l.site = f.site AND l.norm = f.norm GROUP BY 1) k ON p.page_id = k.page_id""",
+    "p7_found": f"""WITH {_PAIRS}
+SELECT a AS page_id_a, b AS page_id_b FROM shown""",
+    "p7_groups": f"""WITH RECURSIVE {_PAIRS},
+edges AS (SELECT a, b FROM shown UNION SELECT b, a FROM shown),
+reached(v, r) AS (SELECT page_id, page_id FROM cur UNION SELECT b, r FROM reached JOIN edges ON v = a),
+groups AS (SELECT v AS page_id, min(r) AS group_id FROM reached GROUP BY 1),
+links AS (SELECT a AS page_id, count(*) AS links FROM edges JOIN firsts x ON a = x.page_id JOIN firsts y ON b = y.page_id WHERE x.first = a AND y.first = b GROUP BY 1)
+SELECT page_id, group_id, coalesce(links, 0)::BIGINT AS links, coalesce(first, page_id) AS copy_of
+FROM cur JOIN groups USING (page_id) LEFT JOIN firsts USING (page_id) LEFT JOIN links ON links.page_id = coalesce(first, cur.page_id)""",
     "p4_found": f"""WITH {_CURRENT}
 SELECT page_id, word FROM (SELECT page_id, word, rank() OVER (PARTITION BY page_id ORDER BY round(cnt * log2((SELECT p FROM p)::DOUBLE / d), 6) DESC) AS r FROM cur JOIN d USING (word))
 WHERE r = 1""",

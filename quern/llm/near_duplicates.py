@@ -4,14 +4,14 @@ Each text becomes the set of its hashed runs of WORDS consecutive words. A signa
 each, agrees in a symbol about as often as the Jaccard similarity of two sets says, so similar texts are close in Hamming distance
 over symbols. The join on signatures is multi-index: the signature is split into CHUNKS chunks of four symbols, and each chunk
 is indexed once for every way to leave ERRORS = 1 symbol out. By the pigeonhole principle two signatures with fewer than
-CHUNKS * (ERRORS + 1) differing symbols meet under at least one key; pairs beyond that distance meet under a key with the
+CHUNKS * (ERRORS + 1) differing symbols (GUARANTEED) meet under at least one key; pairs beyond that distance meet under a key with the
 probabilities given in the README (0.996 at a similarity of 0.42, 0.999 at 0.46). Pairs that meet are first compared by a sketch
 of two bits per symbol that travels with the keys, those that remain by signatures of eight bits per symbol, and the few left by
 their whole sets: every pair that comes out is similar, while of the similar pairs near the threshold a few never meet or are lost by
 a filter (at 0.42: 0.43 % never meet, the sketch loses 0.03 %, the signature 0.03 %).
 
 Texts with equal sets are one class from the start and only a class's representative is indexed; what comes out has every text of
-it. The key join is a sort-merge join that AQE splits where a key or partition is hot; no group is gathered into one row or task.
+it, of copies letter for letter the first page alone. The key join is a sort-merge join that AQE splits where a key or partition is hot; no group is gathered into one row or task.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ SYMBOLS = CHUNKS * CHUNK
 SKETCH_DISTANCE = 58
 #: Of the eight-bit symbols, as many may differ; a pair of similarity 0.42 differs in 55.5 +- 4.8 of 96.
 SIGNATURE_DISTANCE = 71
-#: Texts that more pages than this have, letter for letter, aren't written out in all their pairs.
-EXPANDED = 200
+#: Signatures that differ in no more symbols are sure to meet under a key.
+GUARANTEED = CHUNKS * 2 - 1
 _WORD = re.compile("[一-鿿]|[^\\W_一-鿿]+")
 _SET_SCHEMA = "id bigint, shingles array<bigint>, same bigint, copy bigint, keys array<bigint>, sig array<bigint>, s0 bigint, s1 bigint, s2 bigint"
 
@@ -196,26 +196,28 @@ def similar_representatives(sets: DataFrame, similarity: float = SIMILARITY) ->
     return pairs.filter(F.col("jaccard") >= similarity).select("a", "b", "jaccard")
 
 
-def similar_pages(pages: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(page_id_a, page_id_b), a < b: all pairs of current pages with at least the similarity, equal texts among them.
+def similar_pages(pages: DataFrame, similarity: float = SIMILARITY, expand_copies: bool = False) -> DataFrame:
+    """(page_id_a, page_id_b), a < b: the pairs of different texts of current pages with at least the similarity, and every copy of
+    a text, letter for letter, with the first page that has it, the smallest.
 
     Pages with null raw_text or fewer than WORDS words have no runs and no pair; older fetches and copies of a row are left
-    out; very long texts are taken whole; an empty table gives no rows; further columns don't matter. Different texts are
-    written out in all their pairs, those with equal sets too. Pages with one and the same text are, up to EXPANDED of them; of
-    more, every page comes with the first, the smallest, and only that one with other texts, as their pairs would grow as the
-    square of the rows. page_groups has the first of every page (copy_of), so that the pairs can be rebuilt.
+    out; very long texts are taken whole; an empty table gives no rows; further columns don't matter. The first page of a text
+    stands for it in all pairs with other texts, those with equal sets too, however many copies there are, as pairs of copies grow as
+    the square of the rows; page_groups has the first of every page (copy_of), from which they follow. With expand_copies they
+    are written out.
     """
     sets = described(current_pages(pages, "raw_text").select(F.col("page_id").alias("id"), F.col("raw_text").alias("text")))
     of = cut(classes(sets))
-    shown = of.filter((F.col("copies") <= EXPANDED) | (F.col("id") == F.col("first")))
+    shown = of if expand_copies else of.filter("id = first")
     reps = similar_representatives(sets, similarity).select("a", "b")
     x, y = shown.select(F.col("id").alias("p"), F.col("rep").alias("a")), shown.select(F.col("id").alias("q"), F.col("rep").alias("b"))
     between = reps.join(x, "a").join(y, "b").select(F.least("p", "q").alias("page_id_a"), F.greatest("p", "q").alias("page_id_b"))
     many = shown.filter("n > 1")
     inside = many.select("rep", F.col("id").alias("page_id_a")).join(many.select("rep", F.col("id").alias("page_id_b")), "rep")
     inside = inside.filter("page_id_a < page_id_b").select("page_id_a", "page_id_b")
-    star = of.filter((F.col("copies") > EXPANDED) & (F.col("id") > F.col("first"))).select(F.col("first").alias("page_id_a"), F.col("id").alias("page_id_b"))
-    return between.unionByName(inside).unionByName(star)
+    if expand_copies:
+        return between.unionByName(inside)
+    return between.unionByName(inside).unionByName(of.filter("id > first").select(F.col("first").alias("page_id_a"), F.col("id").alias("page_id_b")))
 
 
 def linked(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -71,26 +71,21 @@ def test_pairs_and_groups_brute_force(spark):
     assert group == {i: find(i) for i in group}
 
 
-def test_many_copies_come_as_a_star(spark, monkeypatch):
-    monkeypatch.setattr(nd, "EXPANDED", 10)
-    texts = ["the very same words in each of them stand here again"] * 40 + ["the very same words in each of them stand here today"] * 3
-    got = {(r["page_id_a"], r["page_id_b"]) for r in nd.similar_pages(frame(spark, texts)).collect()}
-    assert got == {(0, i) for i in range(1, 43)} | {(40, 41), (40, 42), (41, 42)}
-    rows = nd.page_groups(frame(spark, texts)).collect()
-    assert {r["group_id"] for r in rows} == {0} and {r["links"] for r in rows} == {1}
-
-
-def test_only_copies_letter_for_letter_come_as_a_star(spark, monkeypatch):
-    monkeypatch.setattr(nd, "EXPANDED", 10)
+def test_copies_letter_for_letter_come_with_the_first(spark):
     base = "the very same words in each of them stand here again"
-    texts = [base] * 20 + [base.upper(), base.replace(" ", "\n"), base + "!"] + ["the very same words in each of them stand here today"]
+    texts = [base] * 20 + [base.upper(), base.replace(" ", "\n"), base + "!"] + ["the very same words in each of them stand here today"] * 2
     got = {(r["page_id_a"], r["page_id_b"]) for r in nd.similar_pages(frame(spark, texts)).collect()}
-    assert got == {(0, i) for i in range(1, 24)} | {(i, j) for i in range(20, 24) for j in range(i + 1, 24)}
+    firsts = [0, 20, 21, 22, 23]
+    assert got == {(0, i) for i in range(1, 20)} | {(23, 24)} | {(i, j) for i in firsts for j in firsts if i < j}
     rows = nd.page_groups(frame(spark, texts)).collect()
     copy_of = {r["page_id"]: r["copy_of"] for r in rows}
-    assert copy_of == {i: 0 if i < 20 else i for i in range(24)} and {r["links"] for r in rows} == {4}
-    shown = {(min(i, j), max(i, j)) for a, b in got for i in range(24) for j in range(24) if i != j and {copy_of[i], copy_of[j]} <= {copy_of[a], copy_of[b]}}
+    assert copy_of == {i: 0 if i < 20 else 23 if i == 24 else i for i in range(25)}
+    assert {r["links"] for r in rows} == {4} and {r["group_id"] for r in rows} == {0}
+    # what copy_of leaves to be written out is what expand_copies writes
+    linked = got | {(b, a) for a, b in got} | {(a, a) for a in firsts}
+    shown = {(i, j) for i in range(25) for j in range(i + 1, 25) if (copy_of[i], copy_of[j]) in linked}
     assert shown == wanted(texts)
+    assert shown == {(r["page_id_a"], r["page_id_b"]) for r in nd.similar_pages(frame(spark, texts), expand_copies=True).collect()}
 
 
 def test_empty(spark):
