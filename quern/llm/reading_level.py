@@ -18,6 +18,7 @@ from __future__ import annotations
 import copy
 import re
 import zlib
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -38,8 +39,8 @@ _TOKEN = re.compile("[㐀-鿿]|[^\\W\\d_㐀-鿿]+|[.!?;。！？；\n]")
 _ENDS = frozenset(".!?;。！？；\n")
 #: A sentence of more words than LONG is taken as pieces of PIECE words.
 LONG, PIECE = 120, 24
-#: Sentences of a block, about.
-BLOCK = 50_000
+#: Sentences of a block, about, and texts that are split at once.
+BLOCK, STEP = 50_000, 256
 #: What a sentence of a graded document counts in the registers; others count 1.
 GRADED = 3.0
 #: Rounds of the mixture at most, and the change of a register's word distribution (as a sum over words) at which they end.
@@ -69,20 +70,28 @@ class Sentences(NamedTuple):
     size: np.ndarray
 
 
-def split(text: str | None, codes: _Codes) -> Sentences:
-    """The sentences of a text, without empty ones."""
-    ids = np.array([codes[t] for t in _TOKEN.findall(text or "")], dtype=np.int32)
+def split(texts: list[str | None], codes: _Codes) -> tuple[Sentences, np.ndarray]:
+    """The sentences of texts, without empty ones, and how many each text has."""
+    tokens, n = [], []
+    for t in texts:
+        found = _TOKEN.findall(t) if t else []
+        tokens += found
+        tokens.append("\n")
+        n.append(len(found) + 1)
+    ids = np.array([codes[t] for t in tokens], dtype=np.int32)
     ends = ids < 0
     words, place = ids[~ends], np.cumsum(ends)[~ends]
     if not len(words):
-        return Sentences(words, np.empty(0, dtype=np.int64))
+        return Sentences(words, np.empty(0, dtype=np.int64)), np.zeros(len(texts), dtype=np.int64)
     start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     size = np.diff(np.r_[start, len(place)])
     if size.max() > LONG:
         inside = np.arange(len(place)) - np.repeat(start, size)
-        place = place * 1_000_000 + np.where(np.repeat(size, size) > LONG, inside // PIECE, 0)
-        size = np.diff(np.r_[np.flatnonzero(np.r_[True, place[1:] != place[:-1]]), len(place)])
-    return Sentences(words, size)
+        place = place * 1_000_000_000 + np.where(np.repeat(size, size) > LONG, inside // PIECE, 0)
+        start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        size = np.diff(np.r_[start, len(place)])
+    text = np.repeat(np.arange(len(texts)), n)[~ends]
+    return Sentences(words, size), np.bincount(text[start], minlength=len(texts))
 
 
 class Model:
@@ -262,19 +271,22 @@ def coded(batches, graded: set, block: int = BLOCK):
 
     rows, seen, n = [], {}, []
     for pdf in batches:
-        for doc, text in zip(pdf["doc_id"].astype(object), pdf["text"]):
-            doc = None if pd.isna(doc) else int(doc)
-            counts = doc not in graded
-            words, size = split(text if isinstance(text, str) else None, codes)
-            raw, at, numbers = words.tobytes(), 0, []
-            for end in (4 * np.cumsum(size)).tolist():
-                k = seen.setdefault(raw[at:end], len(seen))
-                at = end
-                if k == len(n):
-                    n.append(0)
-                n[k] += counts
-                numbers.append(k)
-            rows.append((doc, len(text) if isinstance(text, str) else -1, numbers))
+        docs = [None if pd.isna(doc) else int(doc) for doc in pdf["doc_id"].astype(object)]
+        texts = [t if isinstance(t, str) else None for t in pdf["text"]]
+        for first in range(0, len(docs), STEP):
+            part = texts[first : first + STEP]
+            sentences, per_text = split(part, codes)
+            raw, at, ends = sentences.words.tobytes(), 0, iter((4 * np.cumsum(sentences.size)).tolist())
+            for doc, text, many in zip(docs[first : first + STEP], part, per_text.tolist()):
+                counts, numbers = doc not in graded, []
+                for end in islice(ends, many):
+                    k = seen.setdefault(raw[at:end], len(seen))
+                    at = end
+                    if k == len(n):
+                        n.append(0)
+                    n[k] += counts
+                    numbers.append(k)
+                rows.append((doc, -1 if text is None else len(text), numbers))
             if len(seen) >= block or len(rows) >= block:
                 yield pd.DataFrame([packed(rows, seen, n)], columns=[c.split()[0] for c in _CODED.split(", ")])
                 rows, seen, n = [], {}, []
@@ -355,7 +367,7 @@ def fitted(documents: DataFrame, labels: DataFrame, max_graded: int = MAX_GRADED
     if not graded:
         return Model(), blocks
     model, codes = Model(known_slots(blocks)), _Codes()
-    texts = [(split(r["text"], codes), list(r["grades"])) for r in graded]
+    texts = [(split([r["text"]], codes)[0], list(r["grades"])) for r in graded]
     fit_registers(model, [(s, float(np.mean(g))) for s, g in texts], _ungraded(blocks))
     return ranked(model, texts), blocks
 

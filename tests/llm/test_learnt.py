@@ -161,8 +161,8 @@ def test_reading_level_held_out(spark):
 def local_fit(graded, others):
     """The model of (text, grades) and further texts, without Spark."""
     codes = rl._Codes()
-    split = [(rl.split(t, codes), g) for t, g in graded]
-    rest = [rl.split(t, codes) for t in others]
+    split = [(rl.split([t], codes)[0], g) for t, g in graded]
+    rest = [rl.split([t], codes)[0] for t in others]
     df = np.zeros(rl.SLOTS)
     for s in [s for s, _ in split] + rest:
         df[np.unique(s.words & (rl.SLOTS - 1))] += 1
@@ -175,7 +175,7 @@ def local_fit(graded, others):
 
 def local_levels(model, texts):
     codes = rl._Codes()
-    split = [rl.split(t, codes) for t in texts]
+    split = [rl.split([t], codes)[0] for t in texts]
     return np.array([model.grade(model.features(s, np.arange(len(s.size)), np.array([len(s.size)])))[1][0] for s in split])
 
 
