@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.search import rendered, search, with_pages
+from quern.sources.tables import freed
 
 
 def request_path(line: str) -> str | None:
@@ -25,6 +26,7 @@ def route(path: str) -> tuple[str, str]:
 
 def results_page(index: DataFrame, store: DataFrame, query: str, limit: int = 100) -> str:
     """The first results as an html page; a note where nothing is found."""
-    found = search(index.withColumnRenamed("page_id", "doc_id"), query, limit=limit).withColumnRenamed("doc_id", "page_id")
-    lines = [r["line"] for r in rendered(with_pages(found, store)).orderBy(F.col("rank")).collect()]
+    with freed():
+        found = search(index.withColumnRenamed("page_id", "doc_id"), query, limit=limit).withColumnRenamed("doc_id", "page_id")
+        lines = [r["line"] for r in rendered(with_pages(found, store)).orderBy(F.col("rank")).collect()]
     return "<html><body>" + ("".join(lines) or "no record") + "</body></html>"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import links
 from quern.functions.urls import authority, resolved, same_domain
+from quern.operators.order import ranked, running_sum
 from quern.sources.tables import cut
 
 
@@ -28,43 +29,37 @@ def new_links(graph: DataFrame, seen: DataFrame) -> DataFrame:
     return graph.select(F.col("target").alias("link")).distinct().join(seen.select(F.col("url").alias("link")), "link", "left_anti")
 
 
-def crawl_levels(graph: DataFrame, seeds: DataFrame, cap: int = 10001, depth: int = 50) -> DataFrame:
+def crawl_levels(graph: DataFrame, seeds: DataFrame, cap: int = 10001) -> DataFrame:
     """(url, depth): what a breadth-first crawl from the seeds reaches over stored links, until cap urls are reached or nothing is new.
 
-    Each level is a join of the last one with the links, less what was seen, written once; the cap falls on whole levels and, in
-    the last one, on urls in order.
+    The links are written once. Each level is a join of the last one with them, less what was seen, written once; the cap falls on
+    whole levels and, in the last one, on the first urls.
     """
-    seen = cut(seeds.select("url").filter("url <> ''").distinct().withColumn("depth", F.lit(0)))
-    total = seen.count()
-    for k in range(1, depth + 1):
-        if total >= cap:
-            break
-        last = seen.filter(F.col("depth") == k - 1).select(F.col("url").alias("source"))
-        step = graph.join(last, "source", "left_semi").select(F.col("target").alias("url")).distinct().join(seen, "url", "left_anti")
-        level = cut(step.withColumn("depth", F.lit(k)))
-        n = level.count()
-        if not n:
-            break
+    graph = cut(graph.select("source", "target"))
+    seen = last = cut(seeds.select("url").filter("url <> ''").distinct().withColumn("depth", F.lit(0)))
+    n = total = seen.count()
+    before = None
+    while n and total < cap:
+        step = graph.join(last.select(F.col("url").alias("source")), "source", "left_semi").select(F.col("target").alias("url")).distinct()
+        depth = last.first()["depth"] + 1
+        before, last = seen, cut(step.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
+        n = last.count()
         total += n
-        seen = seen.union(level)
-    return seen.orderBy("depth", "url").limit(cap)
+        seen = before.union(last)
+    if total <= cap:
+        return seen
+    some = ranked(last, [F.col("url")]).filter(F.col("rank") <= cap - (total - n)).drop("rank")
+    return some if before is None else before.union(some)
 
 
-def depth_first_order(levels: DataFrame) -> DataFrame:
-    """The same urls, last found first."""
-    return levels.orderBy(F.col("depth").desc(), F.col("url").desc())
-
-
-def host_schedule(pages: DataFrame, delay: float = 0.0, key: str = "page_id", block: int = 65536) -> DataFrame:
+def host_schedule(pages: DataFrame, delay: float = 0.0, key: str = "page_id") -> DataFrame:
     """(key, host, slot, at): each page's place among its host's in order of the key, and the seconds after which it may be fetched.
 
-    Pages without a host have none and aren't scheduled. Places are counted inside blocks of keys and across blocks, so that a host
+    Pages without a host have none and aren't scheduled. Places are counted inside ranges and across them, so that a host
     with a large part of all pages isn't gathered into one task.
     """
-    from quern.operators.order import running_sum
-
     rows = pages.select(key, F.lower(authority(F.col("url"))).alias("host")).filter("host is not null")
-    rows = running_sum(rows, F.lit(1), key, "slot", "host", block)
+    rows = running_sum(rows, F.lit(1), key, "slot", "host")
     return rows.select(key, "host", F.col("slot").cast("int").alias("slot"), ((F.col("slot") - 1) * F.lit(float(delay))).alias("at"))
 
 
@@ -76,6 +71,4 @@ def host_counts(pages: DataFrame) -> DataFrame:
 
 def assigned_ids(urls: DataFrame, order: list[str]) -> DataFrame:
     """urls with page_id 0, 1, ... in the order given."""
-    from quern.operators.order import ranked
-
     return ranked(urls, [F.col(c) for c in order], name="page_id").withColumn("page_id", F.col("page_id") - 1)

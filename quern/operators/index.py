@@ -29,36 +29,57 @@ def inverse_doc_freq(index: DataFrame, pages: float = 100) -> DataFrame:
     return doc_freq(index).select("word", F.round(idf(F.col("df"), pages), 6).alias("idf"))
 
 
+#: Folders of a stored index at least, and where their number stands.
+BUCKETS, BUCKETS_KEY = 64, "buckets"
+
+
 def bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.hash(word), F.lit(buckets))
 
 
-def write_index(index: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
+def write_index(index: DataFrame, path: str, buckets: int | None = None, mode: str = "overwrite", key: str = "doc_id") -> None:
     """Store postings in folders by a hash of the word, each sorted by word and key, so that a lookup reads few row groups.
 
-    A word with very many postings is spread by key over several files of its folder.
+    The number of folders, BUCKETS or the shuffle partitions if those are more, stands in the metadata of the column word, where
+    lookup finds it. Tasks follow the size of the data: rows are rebalanced by folder, small ones share a task and large ones, such
+    as that of a word with very many postings, are split.
     """
-    rows = index.withColumn("bucket", bucket(F.col("word"), buckets))
-    rows = rows.repartition("bucket", F.pmod(F.hash("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "word", "doc_id")
-    rows.write.mode(mode).partitionBy("bucket").parquet(path)
+    buckets = buckets or max(BUCKETS, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = index.withMetadata("word", {BUCKETS_KEY: buckets}).withColumn("bucket", bucket(F.col("word"), buckets))
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "word", key).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def lookup(index: DataFrame, words: list[str], buckets: int | None = 64) -> DataFrame:
-    """The postings of these words; of a stored index, only their folders and row groups are read."""
+def lookup(index: DataFrame, words: list[str]) -> DataFrame:
+    """The postings of these words; of a stored index, only their folders and row groups are read.
+
+    The folders are hashes of literals, which the optimizer folds before it prunes. An index with folders that doesn't say how many
+    they are is refused.
+    """
     words = sorted(set(words))
     rows = index.filter(F.col("word").isin(words))
-    if buckets and "bucket" in index.columns:
-        spark = index.sparkSession
-        some = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in words])).alias("w")) if words else None
-        at = sorted({r[0] for r in some.select(bucket(F.col("w"), buckets)).collect()}) if some is not None else []
-        rows = rows.filter(F.col("bucket").isin(at)).drop("bucket")
+    if "bucket" in index.columns:
+        buckets = index.schema["word"].metadata.get(BUCKETS_KEY)
+        if not buckets:
+            raise ValueError("the index doesn't say how many folders it has: write it with write_index")
+        rows = rows.filter(F.col("bucket").isin([bucket(F.lit(w), buckets) for w in words])) if words else rows
+        rows = rows.drop("bucket")
     return rows
 
 
+def compacted(spark: SparkSession, paths: list[str], path: str, key: str = "doc_id") -> None:
+    """Write the stored indexes of paths, oldest first, as one at path: of a document that several have, the last one's postings."""
+    parts = [read_index(spark, p).drop("bucket").withColumn("part", F.lit(k)) for k, p in enumerate(paths)]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    last = rows.groupBy(key).agg(F.max("part").alias("part"))
+    write_index(rows.join(last, [key, "part"], "left_semi").drop("part"), path, key=key)
+
+
 def merged(index: DataFrame, more: DataFrame, key: str = "doc_id") -> DataFrame:
     """The index with the postings of more documents; a document that is in both has its new postings only, so that merging the
     same postings twice changes nothing."""

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from quern.sources.tables import cut
 
 
-def running_sum(df: DataFrame, value: Column, by: str, name: str, key: str | None = None, block: int = 65536) -> DataFrame:
-    """df with name: the sum of value up to and with each row, in order of the integer column by, within key if one is given.
+def running_sum(df: DataFrame, value: Column, by: str, name: str, key: str | None = None) -> DataFrame:
+    """df with name: the sum of value up to and with each row, in order of the column by, within key if one is given.
 
-    Rows are summed up inside blocks of `block` consecutive values of by, and block sums are added up across them: a task holds
-    one block of rows, or one key's block sums.
+    Rows are sorted by ranges of (key, by), written once with the number of their range, and summed up inside ranges; sums of
+    ranges are added up across them. A task holds a range of rows, whose number doesn't depend on how by is spread and which split
+    a hot key too, or the sums of one key, at most one for each range.
     """
     keys = [key] if key else []
-    rows = df.withColumn("__v", value).withColumn("__b", F.floor(F.col(by) / block))
+    rows = cut(df.withColumn("__v", value).orderBy(*keys, by).withColumn("__b", F.spark_partition_id()))
     inside = Window.partitionBy(*keys, "__b").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.groupBy(*keys, "__b").agg(F.sum("__v").alias("__s"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

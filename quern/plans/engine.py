@@ -14,8 +14,9 @@ from quern.functions import text as tx
 from quern.functions import urls
 from quern.operators import blocks, crawl, index, search, tokens
 from quern.operators.latest import current_pages
+from quern.operators.order import ranked
 from quern.sources import files
-from quern.sources.tables import scratch, spread, table
+from quern.sources.tables import exists, scratch, spread, table, version
 from quern.streaming.index_stream import index_stream, read_stream_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,13 +34,27 @@ def _index(s: SparkSession, d: str) -> DataFrame:
     return index.postings(tokens.bigram_hits(_docs(s, d)))
 
 
+_stored_at: dict[tuple, str] = {}
+
+
+def _stored(s: SparkSession, d: str, tokenized: Callable[[DataFrame], DataFrame] = tokens.bigram_hits) -> DataFrame:
+    """The stored index of the documents under d: built by the first search of the session and read by all others, until the table
+    is another or the index is gone."""
+    key = (s.sparkContext.applicationId, tokenized.__name__, version(s, f"{d}/documents.parquet"))
+    path = _stored_at.get(key)
+    if path is None or not exists(s, path):
+        path = _stored_at[key] = scratch(s)
+        index.write_index(index.postings(tokenized(_docs(s, d))), path)
+    return index.read_index(s, path)
+
+
 def _page_index(s: SparkSession, d: str) -> DataFrame:
     store = files.page_files(files.page_store(_pages(s, d, "url", "title", "raw_text")))
     return index.postings(tokens.bigram_hits(store.withColumnRenamed("page_id", "doc_id")))
 
 
 def _matches(s: SparkSession, d: str, words: list[str]) -> DataFrame:
-    return search.matches(_index(s, d), words)
+    return search.matches(_stored(s, d), words)
 
 
 def _tables_to_lines(s: SparkSession, d: str) -> DataFrame:
@@ -63,25 +78,78 @@ def _seeds(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "seed_list").select(F.lower(F.trim("url")).alias("url"))
 
 
-def _site_graph(s: SparkSession, d: str) -> DataFrame:
-    """Links between hosts and pages: every page is linked from its site's front page, as given by the seeds."""
-    pages = _pages(s, d, "url").filter("url is not null").select(F.lower("url").alias("target"))
-    front = F.concat(F.lit("http://"), urls.site(F.col("target")), F.lit("/"))
-    return pages.select(front.alias("source"), "target").distinct()
+def _crawled(s: SparkSession, d: str, cap: int) -> DataFrame:
+    """A crawl over the links of the pages. The tables have no front pages, which seeds name, so these link to all of their site's."""
+    pages = _pages(s, d, "url").filter("url is not null")
+    front = F.concat(F.lit("http://"), urls.site(F.col("url")), F.lit("/"))
+    graph = pages.select(front.alias("source"), F.col("url").alias("target")).union(_graph(s, d)).distinct()
+    return crawl.crawl_levels(graph, _seeds(s, d), cap)
 
 
 def incremental(s: SparkSession, d: str) -> DataFrame:
-    """The index of one half of the documents merged with that of the other half, and with some of it once more."""
+    """The postings of the index of one half of the documents merged with that of the other half, and with that once more."""
     docs = _docs(s, d).withColumn("h", F.pmod(F.hash("doc_id"), F.lit(2)))
     first, second = (index.postings(tokens.bigram_hits(docs.filter(F.col("h") == k).drop("h"))) for k in (0, 1))
-    return index.doc_freq(index.merged(index.merged(first, second), second))
+    return index.merged(index.merged(first, second), second).select("word", "doc_id", "tf")
+
+
+def compacted(s: SparkSession, d: str) -> DataFrame:
+    """Two stored indexes, of all documents but with some texts cut and of those once more as they are, written as one."""
+    docs = _docs(s, d).withColumn("h", F.pmod(F.hash("doc_id"), F.lit(2)))
+    older = docs.select("doc_id", F.when(F.col("h") == 0, F.substring("text", 1, 40)).otherwise(F.col("text")).alias("text"))
+    parts = []
+    for texts, folders in ((older, 8), (docs.filter("h = 0").drop("h"), 16)):
+        parts.append(scratch(s))
+        index.write_index(index.postings(tokens.bigram_hits(texts)), parts[-1], folders)
+    path = scratch(s)
+    index.compacted(s, parts, path)
+    return index.read_index(s, path).select("word", "doc_id", "tf", F.array_min("pos").alias("first_pos"))
 
 
 def stored(s: SparkSession, d: str) -> DataFrame:
     """A lookup in an index that was written and is read again."""
     path = scratch(s)
     index.write_index(_index(s, d), path, 16)
-    return index.lookup(index.read_index(s, path), ["that", "with"], 16).select("word", "doc_id", "tf", F.array_min("pos").alias("first_pos"))
+    return index.lookup(index.read_index(s, path), ["that", "with"]).select("word", "doc_id", "tf", F.array_min("pos").alias("first_pos"))
+
+
+def stored_search(s: SparkSession, d: str) -> DataFrame:
+    """A search in an index that was written into more folders than usual and is read again."""
+    path = scratch(s)
+    index.write_index(_index(s, d), path, 200)
+    return search.search(index.read_index(s, path), "the library")
+
+
+def stored_pages(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s)
+    files.write_page_store(files.page_store(_pages(s, d, "url", "title", "raw_text")), path)
+    return files.read_page_store(s, path).select("page_id", "url", "title", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
+
+
+def page_text_files(s: SparkSession, d: str) -> DataFrame:
+    """The pages' texts written as files named by their ids, and read again as a directory of texts."""
+    path = scratch(s)
+    files.write_texts(files.page_files(files.page_store(_pages(s, d, "url", "title", "raw_text"))), path)
+    return files.text_directory(s, path).select(F.col("doc_id").alias("page_id"), F.md5("text").alias("text_md5"))
+
+
+def html_files(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s)
+    files.write_texts(_pages(s, d, "html").filter("html is not null"), path, ".html")
+    return files.html_directory(s, path).select("page_id", F.md5("html").alias("html_md5"))
+
+
+def seed_file(s: SparkSession, d: str) -> DataFrame:
+    """The seeds written as a file of lines and read as a seed list."""
+    path = scratch(s)
+    table(s, d, "seed_list").select("url").write.text(path)
+    return files.seeds(s, path)
+
+
+def visited_log(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s)
+    files.write_visited(_seen(s, d), path)
+    return s.read.text(path).select(F.col("value").alias("url"))
 
 
 def stream(s: SparkSession, d: str) -> DataFrame:
@@ -107,10 +175,15 @@ QUERIES: dict[str, Query] = {
     "page_sites": lambda s, d: _pages(s, d, "url").groupBy(urls.site(F.col("url")).alias("site")).agg(F.count(F.lit(1)).alias("n_pages")),
     "link_graph": lambda s, d: _graph(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_targets")),
     "frontier_new_links": lambda s, d: crawl.new_links(_graph(s, d), _seen(s, d)),
-    "crawl_levels": lambda s, d: crawl.crawl_levels(_site_graph(s, d), _seeds(s, d), cap=1_000_000),
+    "crawl_levels": lambda s, d: _crawled(s, d, 1_000_000_000),
+    "crawl_capped": lambda s, d: _crawled(s, d, 100),
+    "seed_file": seed_file,
+    "visited_log": visited_log,
+    "page_text_files": page_text_files,
+    "html_files": html_files,
     "host_schedule": lambda s, d: crawl.host_schedule(_pages(s, d, "url"), delay=2.0),
     "page_ids": lambda s, d: crawl.assigned_ids(_seen(s, d), ["url"]),
-    "page_store": lambda s, d: files.page_store(_pages(s, d, "url", "title", "raw_text")).select("page_id", "url", "title", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")),
+    "page_store": stored_pages,
     "id_keys": lambda s, d: _pages(s, d).select("page_id", tx.id_key(F.col("page_id")).alias("id_key")),
     "main_block": lambda s, d: blocks.densest(blocks.block_lines(_tables_to_lines(s, d), "t")).select("page_id", "block_no", "lo", "hi", "weight"),
     "main_text": main_lines,
@@ -123,30 +196,34 @@ QUERIES: dict[str, Query] = {
     "running_df": lambda s, d: index.running_doc_freq(_index(s, d)),
     "idf": lambda s, d: index.inverse_doc_freq(_index(s, d)),
     "posting_records": lambda s, d: index.decoded(index.encoded(_index(s, d))).select("word", "doc_id", "tf", F.array_min("pos").alias("first_pos"), F.size("pos").alias("n_pos")),
-    "query_requests": lambda s, d: table(s, d, "search_query").select("query_id", tx.percent_decoded(tx.parameter(F.concat(F.lit("/s?q="), F.col("request")))).alias("query")).distinct(),
+    "posting_record_text": lambda s, d: index.encoded(_index(s, d)).select("word", "doc_id", F.md5(F.translate("record", "\x00", ".")).alias("record_md5")),
+    "word_order": lambda s, d: ranked(index.doc_freq(_index(s, d)), [F.col("word")]),
+    "query_requests": lambda s, d: table(s, d, "search_query").select("query_id", tx.percent_decoded(tx.parameter(F.col("request"))).alias("query")).distinct(),
     "query_tokens": lambda s, d: s.createDataFrame(list(enumerate(tokens.query_words("你好世界 foo bar 中"))), "ord int, word string"),
-    "term_lookup": lambda s, d: search.term_postings(_index(s, d), ["library"]),
-    "single_character_lookup": lambda s, d: search.term_postings(index.postings(tokens.unigram_hits(_docs(s, d))), ["的"]),
+    "term_lookup": lambda s, d: search.term_postings(_stored(s, d), ["library"]),
+    "single_character_lookup": lambda s, d: search.term_postings(_stored(s, d, tokens.unigram_hits), ["的"]),
     "search_all_terms": lambda s, d: _matches(s, d, ["the", "library"]).filter("tier <= 2").select("doc_id"),
     "search_phrase": lambda s, d: search.phrase_starts(tokens.bigram_hits(_docs(s, d)), ["the", "library"]),
-    "search_any_term": lambda s, d: index.lookup(_index(s, d), ["the", "library"]).select("doc_id").distinct(),
+    "search_any_term": lambda s, d: index.lookup(_stored(s, d), ["the", "library"]).select("doc_id").distinct(),
     "search_just_about": lambda s, d: _matches(s, d, ["the", "library"]).filter("tier = 3").select("doc_id"),
     "about_anchor": lambda s, d: _matches(s, d, ["library", "the"]).filter("tier = 3").select("doc_id", "anchor_pos"),
-    "rarest_first": lambda s, d: search.word_counts(_index(s, d), ["the", "library", "zzz"]),
+    "rarest_first": lambda s, d: search.word_counts(_stored(s, d), ["the", "library", "zzz"]),
     "tfidf_scores": lambda s, d: _matches(s, d, ["that", "with"]).select("doc_id", "score"),
-    "tfidf_running_compat": lambda s, d: search.running_scores(_index(s, d), ["that", "with"]),
-    "search_two_words": lambda s, d: search.search(_index(s, d), "the library"),
-    "search_cjk": lambda s, d: search.search(_index(s, d), "图书馆"),
-    "search_single_character": lambda s, d: search.search_either(_index(s, d), index.postings(tokens.unigram_hits(_docs(s, d))), "的"),
-    "search_missing_term": lambda s, d: search.search(_index(s, d), "library zzz"),
-    "search_no_match": lambda s, d: search.search(_index(s, d), "zzz yyy"),
+    "tfidf_running_compat": lambda s, d: search.running_scores(_stored(s, d), ["that", "with"]),
+    "search_two_words": lambda s, d: search.search(_stored(s, d), "the library"),
+    "search_cjk": lambda s, d: search.search(_stored(s, d), "图书馆"),
+    "search_single_character": lambda s, d: search.search_either(_stored(s, d), _stored(s, d, tokens.unigram_hits), "的"),
+    "search_missing_term": lambda s, d: search.search(_stored(s, d), "library zzz"),
+    "search_no_match": lambda s, d: search.search(_stored(s, d), "zzz yyy"),
     "search_code": lambda s, d: search.result_code(_matches(s, d, ["the", "library"]), ["the", "library"]),
-    "search_topk": lambda s, d: search.search(_index(s, d), "the library", limit=20),
+    "search_topk": lambda s, d: search.search(_stored(s, d), "the library", limit=20),
     "snippets": lambda s, d: _matches(s, d, ["the", "library"]).join(_docs(s, d), "doc_id").select("doc_id", tx.snippet(F.col("text"), F.col("anchor_pos")).alias("snippet")),
     "search_pages_result": lambda s, d: _result_pages(s, d).select("rank", "page_id", "url", "title", "snippet"),
     "result_page_lines": lambda s, d: search.rendered(_result_pages(s, d)),
     "stored_index_lookup": stored,
+    "stored_search": stored_search,
     "incremental_append": incremental,
+    "compacted_index": compacted,
     "stream_index": stream,
 }
 
@@ -203,6 +280,11 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER
 _LINKS = r"""links AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href\s*=\s*["'']([^"''<>]*)["'']', 1)) AS link FROM pages)"""
 _GRAPH = rf"""{_PAGES}, {_LINKS},
 graph AS (SELECT DISTINCT url AS source, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*:)', 1) || '//' || regexp_extract(url, '://([^/?#]*)', 1) || trim(link) AS target FROM links WHERE url IS NOT NULL AND trim(link) LIKE '/%')"""
+_CRAWL = rf"""WITH RECURSIVE {_GRAPH},
+seeds AS (SELECT DISTINCT lower(trim(url)) AS url FROM seed_list WHERE trim(url) <> ''),
+links_all AS (SELECT source, target FROM graph UNION SELECT 'http://' || {_SITE} || '/', url FROM pages WHERE url IS NOT NULL),
+reached(url, depth) AS (SELECT url, 0 FROM seeds UNION SELECT target, depth + 1 FROM reached JOIN links_all ON source = url WHERE depth < 8),
+levels AS (SELECT url, min(depth)::INT AS depth FROM reached GROUP BY 1)"""
 _RESULTS = f"""WITH {_PAGES}, {_PAGE_HITS}, {_found(_THE)},
 results AS (SELECT rank, doc_id AS page_id, url, CASE WHEN length(trim(title)) > 0 THEN title END AS title,
   substr(raw_text, greatest(anchor_pos - 100, 0) + 1, anchor_pos + 51 - greatest(anchor_pos - 100, 0)) AS snippet FROM ranked LEFT JOIN pages ON page_id = doc_id)"""
@@ -218,9 +300,12 @@ SQL: dict[str, str] = {
     "page_sites": f"WITH {_PAGES} SELECT {_SITE} AS site, count(*) AS n_pages FROM pages GROUP BY 1",
     "link_graph": f"WITH {_GRAPH} SELECT source, count(*) AS n_targets FROM graph GROUP BY 1",
     "frontier_new_links": f"WITH {_GRAPH} SELECT DISTINCT target AS link FROM graph WHERE target NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)",
-    "crawl_levels": rf"""WITH {_PAGES}, seeds AS (SELECT DISTINCT lower(trim(url)) AS url FROM seed_list WHERE trim(url) <> ''),
-reached AS (SELECT DISTINCT lower(url) AS url FROM pages WHERE url IS NOT NULL AND 'http://' || {_SITE} || '/' IN (SELECT url FROM seeds))
-SELECT url, 0 AS depth FROM seeds UNION ALL SELECT url, 1 FROM reached WHERE url NOT IN (SELECT url FROM seeds)""",
+    "crawl_levels": f"{_CRAWL} SELECT url, depth FROM levels",
+    "crawl_capped": f"{_CRAWL} SELECT url, depth FROM levels ORDER BY depth, url LIMIT 100",
+    "seed_file": "SELECT rtrim(coalesce(url, '')) AS url FROM seed_list",
+    "visited_log": f"WITH {_PAGES} SELECT DISTINCT url FROM pages WHERE url IS NOT NULL",
+    "page_text_files": f"WITH {_PAGES} SELECT page_id, md5(coalesce(CASE WHEN length(trim(title)) > 0 THEN title END, '') || coalesce(raw_text, '')) AS text_md5 FROM pages",
+    "html_files": f"WITH {_PAGES} SELECT page_id, md5(html) AS html_md5 FROM pages WHERE html IS NOT NULL",
     "host_schedule": f"""WITH {_PAGES}, h AS (SELECT page_id, {_HOST} AS host FROM pages), r AS (SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS slot FROM h WHERE host IS NOT NULL)
 SELECT page_id, host, slot::INT AS slot, (slot - 1) * 2.0::DOUBLE AS at FROM r""",
     "page_ids": f"WITH {_PAGES} SELECT url, row_number() OVER (ORDER BY url) - 1 AS page_id FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)",
@@ -249,6 +334,13 @@ SELECT doc_id, unnest(words) AS word, (generate_subscripts(words, 1) - 1)::INT A
     "running_df": f"WITH {_DOC_HITS} SELECT word, doc_id, row_number() OVER (PARTITION BY word ORDER BY doc_id) AS df_so_far FROM postings",
     "idf": f"WITH {_DOC_HITS} SELECT word, round(log2(100.0 / df), 6) AS idf FROM freq",
     "posting_records": f"WITH {_DOC_HITS} SELECT word, doc_id, tf, pos[1] AS first_pos, len(pos)::INT AS n_pos FROM postings",
+    "posting_record_text": f"""WITH {_DOC_HITS}, so_far AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id) AS n FROM postings)
+SELECT word, doc_id, md5(rpad(n::VARCHAR, 11, '.') || rpad(doc_id::VARCHAR, 11, '.') || rpad(tf::VARCHAR, 7, '.') || array_to_string(list_transform(pos, lambda p: rpad(p::VARCHAR, 7, '.')), '') || '*') AS record_md5 FROM so_far""",
+    "word_order": f"WITH {_DOC_HITS} SELECT word, df, row_number() OVER (ORDER BY word) AS rank FROM freq",
+    "query_requests": r"""WITH r AS (SELECT DISTINCT query_id, CASE WHEN contains(request, '=') THEN regexp_extract(request, '(?s)^[^=]*=(.*)$', 1) END AS q FROM search_query),
+whole AS (SELECT query_id, regexp_replace(q, '%([0-9A-Fa-f]?)([^0-9A-Fa-f]|$)', '%25\1\2', 'g') AS q FROM r),
+valid AS (SELECT query_id, regexp_replace(q, '(?i)(?:%[CD][0-9A-F]|%E[0-9A-F](?:%[89AB][0-9A-F])?)(%[0-7]|[^%]|$)', '%EF%BF%BD\1', 'g') AS q FROM whole)
+SELECT DISTINCT query_id, url_decode(replace(q, '+', '%20')) AS query FROM valid""",
     "query_tokens": "SELECT * FROM (VALUES (0, '你好'), (1, '好世'), (2, '世界'), (3, 'foo'), (4, 'bar'), (5, '中')) t(ord, word)",
     "term_lookup": f"WITH {_DOC_HITS} SELECT doc_id, tf FROM postings WHERE word = 'library'",
     "single_character_lookup": f"""WITH c AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z ' || chr(10) || '{_C}]', '', 'g') AS c FROM documents WHERE text IS NOT NULL)
@@ -278,6 +370,8 @@ FROM (SELECT doc_id, anchor_pos, round(tf * log2(100.0 / (SELECT count(*) FROM f
     "result_page_lines": _RESULTS + " SELECT rank, '<a href=\"' || {0} || '\">' || rank || ': ' || {1} || '</a><br>' || {2} || '<br>' AS line FROM results".format(
         *[f"replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')" for c in ("url", "title", "snippet")]),
     "stored_index_lookup": f"WITH {_DOC_HITS} SELECT word, doc_id, tf, pos[1] AS first_pos FROM postings WHERE word IN ('that', 'with')",
-    "incremental_append": f"WITH {_DOC_HITS} SELECT word, df FROM freq",
+    "stored_search": _search(_THE, _RANKED),
+    "incremental_append": f"WITH {_DOC_HITS} SELECT word, doc_id, tf FROM postings",
+    "compacted_index": f"WITH {_DOC_HITS} SELECT word, doc_id, tf, pos[1] AS first_pos FROM postings",
     "stream_index": f"WITH {_DOC_HITS} SELECT word, doc_id, tf FROM postings",
 }

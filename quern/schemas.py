@@ -1,23 +1,9 @@
-"""Schemas of the engine's tables."""
+"""Schemas of the engine's stored tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in ((x.split()[0], _TYPES[x.split()[1]]) for x in spec.split(", "))])
-
-
-_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "timestamp": T.TimestampType(), "ints": T.ArrayType(T.IntegerType())}
-
-PAGES = _struct("page_id bigint, url string, html string")
-PAGE_STORE = _struct("page_id bigint, url string, title string, text string")
-DOCUMENTS = _struct("doc_id bigint, text string")
-HITS = _struct("doc_id bigint, word string, pos int")
-POSTINGS = _struct("doc_id bigint, word string, tf int, pos ints")
-DOC_FREQ = _struct("word string, df bigint")
-QUERY = _struct("ord int, word string")
-RESULTS = _struct("doc_id bigint, tier int, anchor_pos int, score double")
-FRONTIER = _struct("url string, depth int")
-HOST_SCHEDULE = _struct("url string, host string, slot int, at double")
+PAGE_STORE = T.StructType([
+    T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType()),
+])

@@ -15,19 +15,24 @@ from pyspark.sql import functions as F
 from quern.functions.urls import authority
 
 
-def download(url: str, agent: str = "quern", retries: int = 3, timeout: float = 5.0) -> str | None:
-    """The page as text: gzip is inflated, server errors are tried again up to `retries` times; None when it fails."""
-    try:
-        request = urllib.request.Request(url, headers={"User-Agent": agent, "Accept-Encoding": "gzip"})
-        with urllib.request.urlopen(request, timeout=timeout) as answer:
-            data = answer.read()
-            if answer.headers.get("Content-Encoding") == "gzip":
-                data = gzip.decompress(data)
-            return data.decode(answer.headers.get_content_charset() or "utf-8", errors="replace")
-    except urllib.error.HTTPError as error:
-        return download(url, agent, retries - 1, timeout) if 500 <= error.code < 600 and retries > 0 else None
-    except (OSError, ValueError, EOFError, LookupError, zlib.error):
-        return None
+def download(url: str, agent: str = "quern", retries: int = 3, timeout: float = 5.0, pause: float = 0.2) -> str | None:
+    """The page as text: gzip is inflated, server errors are tried again up to `retries` times, after a pause that doubles; None when it fails."""
+    for again in range(retries + 1):
+        if again:
+            time.sleep(pause * 2 ** (again - 1))
+        try:
+            request = urllib.request.Request(url, headers={"User-Agent": agent, "Accept-Encoding": "gzip"})
+            with urllib.request.urlopen(request, timeout=timeout) as answer:
+                data = answer.read()
+                if answer.headers.get("Content-Encoding") == "gzip":
+                    data = gzip.decompress(data)
+                return data.decode(answer.headers.get_content_charset() or "utf-8", errors="replace")
+        except urllib.error.HTTPError as error:
+            if not 500 <= error.code < 600:
+                return None
+        except (OSError, ValueError, EOFError, LookupError, zlib.error):
+            return None
+    return None
 
 
 def fetched(urls: DataFrame, delay: float = 0.0, agent: str = "quern", retries: int = 3, timeout: float = 5.0) -> DataFrame:

@@ -49,6 +49,29 @@ def page_files(store: DataFrame) -> DataFrame:
     return store.select("page_id", F.concat(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
 
 
+def write_texts(rows: DataFrame, path: str, ending: str = "") -> None:
+    """A file of each row (id, text) under path, named by the id and the ending. Files are put in place when they are whole, so that a
+    task that is run again changes nothing; null texts are empty files. path: of the shared folder, as a URI or a local path."""
+    where = path if "://" in path else f"file://{path}"
+
+    def write(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(where)
+        store.create_dir(root, recursive=True)
+        for pdf in batches:
+            for name, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
+                part = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(text.encode("utf-8", "replace") if isinstance(text, str) else b"")
+                store.move(part, f"{root}/{int(name)}{ending}")
+            yield pdf.iloc[:0, :1]
+
+    rows.filter(F.col(rows.columns[0]).isNotNull()).mapInPandas(write, rows.select(rows.columns[0]).schema).write.format("noop").mode("overwrite").save()
+
+
 def write_visited(urls: DataFrame, path: str, mode: str = "append") -> None:
     """A log of visited urls, a line each."""
     urls.select("url").write.mode(mode).text(path)

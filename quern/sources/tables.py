@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,10 +40,41 @@ def _remove(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder; what is written there goes when the driver ends."""
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _written.append((spark, path))
     return path
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_all(first: int = 0) -> None:
+    while len(_written) > first:
+        _remove(*_written.pop())
+
+
+@contextmanager
+def freed() -> Iterator[None]:
+    """What was written in the shared folder inside the block goes with it, so use the results within: for drivers that live long."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        _remove_all(first)
+
+
+def version(spark: SparkSession, path: str) -> tuple:
+    """The files under a path with their sizes and times: something else once the table there is another."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back: what follows doesn't compute it again, and a lost
     executor costs nothing but its own tasks."""

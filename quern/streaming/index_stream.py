@@ -13,15 +13,18 @@ from pyspark.sql.types import StructType
 
 from quern.operators.index import postings
 from quern.operators.tokens import bigram_hits
+from quern.sources.tables import cut
 
 
 def index_stream(spark: SparkSession, source: str, schema: StructType, index: str, checkpoint: str, files_per_batch: int = 1000, key: str = "doc_id", text: str = "text") -> StreamingQuery:
     """Index the Parquet files that are in source, and those that come, until nothing is left; returns the started query."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream = stream.select(key, text, F.col("_metadata.file_modification_time").alias("came"), F.col("_metadata.file_path").alias("file"))
 
     def write(batch: DataFrame, number: int) -> None:
-        docs = batch.select(key, text).filter(F.col(key).isNotNull())
-        once = docs.groupBy(key).agg(F.max(text).alias(text))  # a document that comes twice in one batch counts once
+        # of a document that comes twice in one batch, the later file's text counts (of one file's, the greatest)
+        docs = batch.filter(F.col(key).isNotNull())
+        once = cut(docs.groupBy(key).agg(F.max_by(text, F.struct("came", "file", text)).alias(text)))  # read twice
         postings(bigram_hits(once, key, text), key).write.mode("overwrite").parquet(f"{index}/batch={number}")
         once.select(key).write.mode("overwrite").parquet(f"{index}-documents/batch={number}")
 

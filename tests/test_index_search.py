@@ -154,12 +154,34 @@ def test_records_round_trip(spark):
 def test_stored_index_and_pruning(spark, tmp_path):
     index.write_index(built(spark), str(tmp_path / "i"), 8)
     stored = index.read_index(spark, str(tmp_path / "i"))
-    got = index.lookup(stored, ["foo", "中"], 8)
+    got = index.lookup(stored, ["foo", "中"])
     assert sorted((r["word"], r["doc_id"]) for r in got.collect()) == [("foo", 0), ("foo", 1), ("中", 0), ("中", 1)]
     plan = got._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert "PushedFilters: [In(word" in plan
-    assert index.lookup(stored, [], 8).count() == 0
+    assert index.lookup(stored, []).count() == 0
+    with pytest.raises(ValueError, match="folders"):
+        index.lookup(built(spark).withColumn("bucket", F.lit(1)), ["foo"])
+
+
+def test_any_number_of_folders_gives_the_same_search(spark, tmp_path):
+    want = [tuple(r) for r in search.search(built(spark), "foo bar").collect()]
+    for n in (1, 16, 64, 200, None):
+        path = str(tmp_path / str(n))
+        index.write_index(built(spark), path, n)
+        stored = index.read_index(spark, path)
+        assert [tuple(r) for r in search.search(stored, "foo bar").collect()] == want and want
+        assert search.word_counts(stored, ["foo"]).first()["n_pages"] == 2
+
+
+def test_compacted_indexes_keep_the_last_postings(spark, tmp_path):
+    parts = []
+    for k, rows in enumerate([[(1, "old old "), (2, "foo ")], [(1, "new "), (3, "bar ")], [(3, "bar bar ")]]):
+        parts.append(str(tmp_path / f"p{k}"))
+        index.write_index(built(spark, rows), parts[-1], 4 + k)
+    index.compacted(spark, parts, str(tmp_path / "all"))
+    rows = index.read_index(spark, str(tmp_path / "all")).collect()
+    assert sorted((r["doc_id"], r["word"], r["tf"]) for r in rows) == [(1, "new", 1), (2, "foo", 1), (3, "bar", 2)]
 
 
 def test_merging_twice_changes_nothing(spark):
@@ -176,8 +198,11 @@ def test_empty_tables(spark):
 
 def test_running_sum_and_rank_over_blocks(spark):
     df = spark.createDataFrame([(k, i, i % 3) for k in "xy" for i in range(50)], "k string, i bigint, v int")
-    got = {(r["k"], r["i"]): r["s"] for r in running_sum(df, F.col("v"), "i", "s", "k", block=7).collect()}
+    got = {(r["k"], r["i"]): r["s"] for r in running_sum(df, F.col("v"), "i", "s", "k").collect()}
     assert got == {(k, i): sum(j % 3 for j in range(i + 1)) for k in "xy" for i in range(50)}
+    sparse = spark.range(0, 40, numPartitions=3).select(F.xxhash64("id").alias("i"))
+    got = {r["i"]: r["s"] for r in running_sum(sparse, F.lit(1), "i", "s").collect()}
+    assert got == {i: k + 1 for k, i in enumerate(sorted(got))}
     rows = ranked(df.repartition(5), [F.col("v").desc(), F.col("k"), F.col("i")]).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == list(range(1, 101))
     assert [(-r["v"], r["k"], r["i"]) for r in rows] == sorted((-r["v"], r["k"], r["i"]) for r in rows)

@@ -1,6 +1,7 @@
 """Blocks, crawling, sources, streaming, settings and the facade."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,16 +60,18 @@ def test_top_half(spark):
 def test_crawl(spark):
     graph = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("d", "a"), ("x", "y")], "source string, target string")
     seeds = spark.createDataFrame([("a",), ("a",), ("",)], "url string")
-    assert [tuple(r) for r in crawl.crawl_levels(graph, seeds).collect()] == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
-    assert crawl.crawl_levels(graph, seeds, cap=2).count() == 2
-    assert [r["url"] for r in crawl.depth_first_order(crawl.crawl_levels(graph, seeds)).collect()] == ["d", "c", "b", "a"]
+    assert sorted(tuple(r) for r in crawl.crawl_levels(graph, seeds).collect()) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+    assert sorted(tuple(r) for r in crawl.crawl_levels(graph, seeds, cap=2).collect()) == [("a", 0), ("b", 1)]
+    assert crawl.crawl_levels(graph, seeds, cap=1).count() == 1 and crawl.crawl_levels(graph, seeds.limit(0)).count() == 0
+    path = spark.createDataFrame([(str(i), str(i + 1)) for i in range(12)], "source string, target string")
+    assert crawl.crawl_levels(path, spark.createDataFrame([("0",)], "url string")).agg({"depth": "max"}).first()[0] == 12
     assert sorted(r["link"] for r in crawl.new_links(graph, spark.createDataFrame([("b",), ("y",)], "url string")).collect()) == ["a", "c", "d"]
 
 
 def test_host_schedule_over_blocks(spark):
-    pages = spark.createDataFrame([(i, f"http://h{i % 2}.test/{i}") for i in range(20)] + [(99, None)], "page_id bigint, url string")
-    got = {r["page_id"]: (r["host"], r["slot"], r["at"]) for r in crawl.host_schedule(pages, delay=1.5, block=4).collect()}
-    assert got == {i: (f"h{i % 2}.test", i // 2 + 1, (i // 2) * 1.5) for i in range(20)}
+    pages = spark.createDataFrame([(i * 10**12, f"http://h{i % 2}.test/{i}") for i in range(20)] + [(99, None)], "page_id bigint, url string")
+    got = {r["page_id"]: (r["host"], r["slot"], r["at"]) for r in crawl.host_schedule(pages, delay=1.5).collect()}
+    assert got == {i * 10**12: (f"h{i % 2}.test", i // 2 + 1, (i // 2) * 1.5) for i in range(20)}
 
 
 def test_links_of_pages(spark):
@@ -97,6 +100,9 @@ def test_page_store(spark, tmp_path):
     files.write_page_store(store, str(tmp_path / "s"))
     assert sorted(map(str, files.read_page_store(spark, str(tmp_path / "s")).collect())) == sorted(map(str, store.collect()))
     assert sorted(tuple(r) for r in files.page_files(store).collect()) == [(1, "text"), (2, "T")]
+    files.write_texts(files.page_files(store), str(tmp_path / "texts"))
+    files.write_texts(files.page_files(store), str(tmp_path / "texts"))
+    assert sorted(tuple(r) for r in files.text_directory(spark, str(tmp_path / "texts")).collect()) == [(1, "text"), (2, "T")]
     files.write_visited(store.filter("url is not null"), str(tmp_path / "log"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "log")).collect()] == ["u"]
 
@@ -133,6 +139,10 @@ def test_stream_equals_one_build(spark, tmp_path):
     assert run() == [(1, "bar", 1), (1, "foo", 1), (2, "bar", 1), (3, "gone", 1)]
     spark.createDataFrame([(2, "new new "), (3, ""), (4, "foo ")], schema).write.mode("append").parquet(source)
     assert run() == [(1, "bar", 1), (1, "foo", 1), (2, "new", 2), (4, "foo", 1)]
+    for k, text in enumerate(("zoo ", "act ")):  # both in one batch: the later file's text holds, not the greater
+        spark.createDataFrame([(9, text)], schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.05)
+    assert [r for r in run() if r[0] == 9] == [(9, "act", 1)]
 
 
 def test_fetching(spark):
@@ -175,6 +185,11 @@ def test_fetching(spark):
 def test_cut_and_shared_dir(spark):
     df = tables.cut(spark.range(10))
     assert df.count() == 10 and tables.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    with tables.freed():
+        inside = tables.cut(spark.range(3))
+        path = inside.inputFiles()[0].rsplit("/", 1)[0]
+        assert inside.count() == 3 and tables.exists(spark, path)
+    assert not tables.exists(spark, path) and df.count() == 10
     assert tables.spread(spark.range(3, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
