@@ -4,18 +4,24 @@ A code-page swap is a substitution cipher: what is shown stands for bytes, and g
 (host) its ciphers are learnt by expectation-maximization against language bigrams:
 
 * The bigrams are counted over all current texts, without lines whose look alone says that they are swapped, into a table of fixed size.
-* Lines are read under each cipher of a list (shown code page, true encoding); groups of bytes that form one letter are one symbol.
-  The gain is the log-likelihood of the reading less that of the line as it stands. The share of each cipher in each source and the
-  probability that a page's field is swapped are then fitted in turns (mixture EM over the few candidate fields).
-* Lines that are unlikely as they stand and that no listed cipher explains are collected by source as bigram counts, and a byte-to-letter
-  mapping is learnt for them by EM over pairs of letters; it is applied with translate() and judged by the same gain.
-
-U+FFFD marks bytes that were lost, so a field that has it is reported, and restored as far as it can be.
+* Lines that look swapped or are unlikely as they stand are read by starting points: pairs of a shown and a true code page.
+  Those that gain likelihood are candidates.
+* Of each source and family of ciphers, the candidates' symbols are counted as bigrams and the source's mapping from symbols to
+  letters is learnt by EM, see mappings.py. Candidates are read again by their source's mapping, with translate(); the gain is
+  the log-likelihood of that reading less that of the line as it stands.
+* The share of each family in each source and the probability that a page's field is swapped are then fitted in turns (mixture EM over
+  the few candidate fields).
+* Lines that are unlikely as they stand and that no starting point explains are collected by source as bigram counts, and a
+  byte-to-letter mapping without starting point is learnt for them by EM over pairs of letters, applied and judged in the same way.
+
+U+FFFD marks bytes that were lost, so a field that has it is reported, and restored as far as it can be. Restoring reads those pieces
+of a field (what lies between line ends and tag brackets) that gain by it, and leaves all others byte for byte.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -24,52 +30,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.urls import site
+from quern.llm.mappings import HIGH, LOST, SINGLE, bytes_of, double_runs, family_of, groups, learn, read, shown_class, symbols
 from quern.operators.latest import current_pages
 from quern.sources.tables import cut
 
 BITS = 20
-LOST = "�"
 #: Log-likelihood a reading must gain in a field, the least prior share of a cipher, the mean log-likelihood below which a line is
 #: read under all ciphers, and below which it may be a cipher of its own.
 LEAST_GAIN, LEAST_SHARE, PLAIN, STRANGE = 3.0, 1e-3, -4.0, -9.0
 #: The mean log-likelihood that a reading only suggested by likelihood must reach.
 BELIEVED = -5.0
-LOST_BYTES = "lost bytes"
+LOST_BYTES, LEARNT = "lost bytes", "learnt"
+#: Letters, the most frequent ones, that a mapping without starting point chooses from.
+MOST_LETTERS = 80
 #: A task forgets the pieces it has read when it has more than this.
 KNOWN = 200_000
-_PIECES = re.compile(r"[<>\n]")
-_CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic")
+_PIECES, _CUTS = re.compile(r"[<>\n]"), re.compile(r"([<>\n])")
 _ENTITY = re.compile(r"&#(\d{3,6});")
-_HIGH = re.compile(r"[^\x00-\x7f]+")
-
-
-@lru_cache(maxsize=None)
-def _bytes_of(shown: str) -> dict[int, int]:
-    """For str.translate: each non-ASCII character of a single-byte code page to its byte. `western` takes cp1252 and latin-1 at once."""
-    table = {}
-    for code in range(0x80, 0x100):
-        for page in ("latin-1", "cp1252") if shown == "western" else (shown,):
-            try:
-                table[ord(bytes([code]).decode(page))] = code
-            except UnicodeDecodeError:
-                pass
-    return table
-
-
-@lru_cache(maxsize=None)
-def _groups(shown: str) -> re.Pattern:
-    """Shown characters that stand for the bytes of one UTF-8 letter."""
-    of = _bytes_of(shown)
-
-    def some(lo: int, hi: int) -> str:
-        return "[" + "".join(re.escape(chr(c)) for c, b in of.items() if lo <= b <= hi) + "]"
-
-    more = some(0x80, 0xBF)
-    return re.compile(f"{some(0xC2, 0xDF)}{more}|{some(0xE0, 0xEF)}{more}{{2}}|{some(0xF0, 0xF4)}{more}{{3}}")
 
 
 def _read_utf8(line: str, shown: str) -> str:
-    of = _bytes_of(shown)
+    of = bytes_of(shown)
 
     def letter(m: re.Match) -> str:
         try:
@@ -77,7 +58,7 @@ def _read_utf8(line: str, shown: str) -> str:
         except UnicodeError:
             return m[0]
 
-    return _groups(shown).sub(letter, line)
+    return groups(shown).sub(letter, line)
 
 
 def _read_run(line: str, shown: str, true: str, errors: str = "strict") -> str:
@@ -87,7 +68,7 @@ def _read_run(line: str, shown: str, true: str, errors: str = "strict") -> str:
         except UnicodeError:
             return m[0]
 
-    return _HIGH.sub(run, line)
+    return HIGH.sub(run, line)
 
 
 def _read_lossy(line: str, shown: str) -> str:
@@ -99,18 +80,11 @@ def _read_lossy(line: str, shown: str) -> str:
         except UnicodeError:
             return m[0]
 
-    return _HIGH.sub(run, line)
-
-
-@lru_cache(maxsize=None)
-def _pairs() -> re.Pattern:
-    of = _bytes_of("western")
-    lead = "".join(re.escape(chr(c)) for c, b in of.items() if 0x81 <= b <= 0xFE)
-    return re.compile(f"(?:[{lead}][{lead}@-~\x80]){{2,}}")
+    return HIGH.sub(run, line)
 
 
 def _read_pairs(line: str, true: str) -> str:
-    of = _bytes_of("western")
+    of = bytes_of("western")
 
     def run(m: re.Match) -> str:
         try:
@@ -118,7 +92,7 @@ def _read_pairs(line: str, true: str) -> str:
         except UnicodeError:
             return m[0]
 
-    return _pairs().sub(run, line)
+    return double_runs().sub(run, line)
 
 
 def _read_single(line: str, shown: str, true: str) -> str:
@@ -128,7 +102,7 @@ def _read_single(line: str, shown: str, true: str) -> str:
 @lru_cache(maxsize=None)
 def _swap(shown: str, true: str) -> dict[int, str]:
     out = {}
-    for c, b in _bytes_of(shown).items():
+    for c, b in bytes_of(shown).items():
         try:
             out[c] = bytes([b]).decode(true)
         except UnicodeDecodeError:
@@ -149,20 +123,26 @@ BY_LOOK = {
     "gbk as western": lambda x: _read_pairs(x, "gbk"),
     "big5 as western": lambda x: _read_pairs(x, "big5"),
 }
-BY_SCORE = {f"{true} as {shown}": (lambda x, s=shown, t=true: _read_single(x, s, t)) for shown in (*_CYRILLIC, "western") for true in _CYRILLIC if shown != true}
+BY_SCORE = {f"{true} as {shown}": (lambda x, s=shown, t=true: _read_single(x, s, t)) for true, shown in SINGLE}
 _MULTI = {"gbk as big5": lambda x: _read_run(x, "big5", "gbk"), "big5 as gbk": lambda x: _read_run(x, "gbk", "big5")}
 CIPHERS = BY_LOOK | BY_SCORE | _MULTI
 _ALPHABETIC = re.compile("[\x80-ӿ]")
 
 
+_MAC_MORE = shown_class("mac_roman", 0x80, 0xBF)
+#: UTF-8 letters shown in a single-byte page, and control characters. In cp866 only box characters before others, in mac_roman only
+#: three bytes, or two after a sign that texts hardly have, look odd.
+_LOOKS = re.compile("|".join([*(groups(p).pattern for p in ("western", "cp1251", "cp1250", "koi8-r")), "[\x80-\x9f]", "[─-▟]" + shown_class("cp866", 0x80, 0xBF), f"[¬√]{_MAC_MORE}", f"{shown_class('mac_roman', 0xE0, 0xEF)}{_MAC_MORE}{{2}}"]))
+
+
 def looks_swapped(line: str) -> bool:
     """Whether the line's look alone says that it may be swapped: such lines don't teach the language."""
-    if LOST in line or _groups("western").search(line) or _groups("cp1251").search(line) or any("\x80" <= c <= "\x9f" for c in line):
+    if LOST in line or _LOOKS.search(line):
         return True
-    if m := _pairs().search(line):
+    if m := double_runs().search(line):
         if len(m[0]) >= 6:
             return True
-    for run in _HIGH.findall(line):
+    for run in HIGH.findall(line):
         if len(run) > 1 or "一" <= run <= "鿿":
             try:
                 run.encode("gb18030").decode("utf-8")
@@ -198,14 +178,23 @@ class Bigrams:
         self.pairs, self.singles = np.maximum(pairs - 1, 0), np.maximum(singles - 1, 0)
         self.share = (singles + 0.02) / (singles.sum() + 1)
 
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Log probability of b after a."""
+        return np.log((self.pairs[_slots(a, b)] + 2 * self.share[b]) / (self.singles[a] + 2))
+
     def each(self, codes: np.ndarray) -> np.ndarray:
         a, b = codes[:-1], codes[1:]
-        log = np.log((self.pairs[_slots(a, b)] + 2 * self.share[b]) / (self.singles[a] + 2))
-        return np.where((a > 127) | (b > 127), log, 0.0)
+        return np.where((a > 127) | (b > 127), self.pair(a, b), 0.0)
 
     def score(self, text: str) -> float:
         return float(self.each(_codes(f" {text} ")).sum())
 
+    def score_and_mean(self, text: str) -> tuple[float, float]:
+        """score, and the mean of it over bigrams that have a non-ASCII character."""
+        codes = _codes(f" {text} ")
+        each, high = self.each(codes), (codes[:-1] > 127) | (codes[1:] > 127)
+        return float(each.sum()), float(each.sum() / max(int(high.sum()), 1))
+
     def means(self, texts: list[str]) -> np.ndarray:
         """The mean log-likelihood of each text's bigrams that have a non-ASCII character."""
         joined = "  ".join(texts)
@@ -263,14 +252,14 @@ class Reader:
                 out = read(piece)
                 if out != piece:
                     as_is = self.language.score(piece) if as_is is None else as_is
-                    gain = self.language.score(out) - as_is
-                    if gain > 0 and (now := self.language.means([out])[0]) > mean + 0.5 and (name in BY_LOOK or now > BELIEVED):
-                        gains[name] = gain
+                    score, now = self.language.score_and_mean(out)
+                    if score > as_is and now > mean + 0.5 and (name in BY_LOOK or now > BELIEVED):
+                        gains[name] = score - as_is
             strange = mean < STRANGE and not looks and max(gains.values(), default=0) < LEAST_GAIN and sum(c > "\x7f" for c in piece) >= 8
             self.known[piece] = (gains, strange)
 
-    def read(self, fields: dict[str, str]) -> dict[str, tuple[dict[str, float], list[str]]]:
-        """Of each field, the summed gain of each cipher, and the pieces that are unlikely but gain by none."""
+    def read(self, fields: dict[str, str]) -> dict[str, tuple[dict[tuple[str, str], float], list[str]]]:
+        """Of each field, the gain of each (cipher, piece), the best cipher of each family, and the pieces that are unlikely but gain by none."""
         if len(self.known) > KNOWN:
             self.known.clear()  # before the page's own pieces are looked up, so that all of them are read
         pieces = {f: {x for x in _PIECES.split(_plain_text(t)) if not x.isascii()} for f, t in fields.items()}
@@ -278,17 +267,20 @@ class Reader:
         if new:
             self._learn(new)
         out = {}
-        for f, t in fields.items():
-            gains: dict[str, float] = {}
+        for f in fields:
+            gains: dict[tuple[str, str], float] = {}
             strange = []
             for x in pieces[f]:
                 found, odd = self.known[x]
-                for k, g in found.items():
-                    gains[k] = gains.get(k, 0.0) + g
+                best: dict[str, str] = {}
+                for k in sorted(found):
+                    family = family_of(k)
+                    if family not in best or found[k] > found[best[family]]:
+                        best[family] = k
+                for k in best.values():
+                    gains[k, x] = found[k]
                 if odd:
                     strange.append(x)
-            if LOST in t:
-                gains[LOST_BYTES] = 0.0
             out[f] = gains, strange
         return out
 
@@ -301,8 +293,10 @@ def _candidates(language):
             for page, source, html, raw in zip(pdf["page_id"], pdf["source"], pdf["html"], pdf["raw_text"]):
                 fields = {f: t for f, t in (("html", html), ("raw_text", raw)) if isinstance(t, str) and not (t.isascii() and "&#" not in t)}
                 for field, (gains, strange) in reader.read(fields).items():
-                    rows += [(page, field, source, k, g, None) for k, g in gains.items() if g > 1 or k == LOST_BYTES]
+                    rows += [(page, field, source, family_of(k), g, x) for (k, x), g in gains.items()]
                     rows += [(page, field, source, None, 0.0, x) for x in strange]
+                    if LOST in fields[field]:
+                        rows.append((page, field, source, LOST_BYTES, 0.0, None))
             yield pd.DataFrame(rows, columns=["page_id", "field", "source", "cipher", "gain", "line"])
 
     return run
@@ -312,7 +306,8 @@ _CANDIDATE = "page_id bigint, field string, source string, cipher string, gain d
 
 
 def candidates(pages: DataFrame, language) -> DataFrame:
-    """(page_id, field, source, cipher, gain, line): the gain of each cipher in a field; or, without a cipher, a line none explains."""
+    """(page_id, field, source, cipher, gain, line): each piece that gains by a starting point, with its family as cipher; or, without
+    a cipher, a piece that none explains."""
     return pages.mapInPandas(_candidates(language), _CANDIDATE)
 
 
@@ -382,23 +377,65 @@ def learnt_mappings(strange: DataFrame, language, letters: str, least: int = 40)
     return counts.join(some, "source").groupBy("source").applyInPandas(_learnt(language, letters), "source string, shown string, letters string")
 
 
+def _pairs_of(batches):
+    for pdf in batches:
+        counts: Counter[tuple[str, str, str, str]] = Counter()
+        for key, family, line in zip(pdf["key"], pdf["cipher"], pdf["line"]):
+            cut_up = [" ", *symbols(line, family), " "]
+            counts.update((key, family, a, b) for a, b in zip(cut_up, cut_up[1:]) if len(a) > 1 or len(b) > 1)
+        keys = list(counts)
+        yield pd.DataFrame({c: [k[i] for k in keys] for i, c in enumerate(("key", "cipher", "a", "b"))}).assign(n=list(counts.values())).astype({"n": "int64"})
+
+
+def family_mappings(found: DataFrame, language) -> DataFrame:
+    """(key, cipher, base, shown, letters): the mapping of each source (key; '' without one) and family that has candidates.
+
+    Only bigrams of symbols are gathered, summed by source and family, so a group has at most the square of the symbols.
+    """
+    rows = found.filter("line is not null and cipher is not null").select(F.coalesce("source", F.lit("")).alias("key"), "cipher", "line")
+    counts = rows.mapInPandas(_pairs_of, "key string, cipher string, a string, b string, n bigint").groupBy("key", "cipher", "a", "b").agg(F.sum("n").alias("n"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        family = pdf["cipher"].iloc[0]
+        base, differ = learn({(a, b): n for a, b, n in zip(pdf["a"], pdf["b"], pdf["n"])}, family, language.value.pair)
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "cipher": [family], "base": [base], "shown": [list(differ)], "letters": [list(differ.values())]})
+
+    return counts.groupBy("key", "cipher").applyInPandas(fit, _MAPPING)
+
+
+_MAPPING = "key string, cipher string, base string, shown array<string>, letters array<string>"
+
+
+def reading(piece: str, cipher: str, base: str | None, shown, letters) -> str:
+    """A piece by a mapping; base is null for one that was learnt without starting point."""
+    if base is None:
+        return piece.translate({ord(a): b for a, b in zip(shown, letters)})
+    return read(piece, cipher, base, dict(zip(shown, letters)))
+
+
 def _judged(language):
     def run(batches):
         for pdf in batches:
-            gain = [language.value.score(x.translate(str.maketrans(s, t))) - language.value.score(x) for x, s, t in zip(pdf["line"], pdf["shown"], pdf["letters"])]
-            out = pdf[["page_id", "field", "source"]].assign(cipher="learnt", gain=gain, line=None)
+            lm, gain = language.value, []
+            for x, *mapping in zip(pdf["line"], pdf["cipher"], pdf["base"], pdf["shown"], pdf["letters"]):
+                out = reading(x, *mapping)
+                gain.append(lm.score(out) - lm.score(x) if out != x else 0.0)
+            out = pdf[["page_id", "field", "source", "cipher"]].assign(gain=gain)
             yield out[out["gain"] > 0]
 
     return run
 
 
+_JUDGED = "page_id bigint, field string, source string, cipher string, gain double"
+
+
 def fitted(found: DataFrame, rounds: int = 4) -> DataFrame:
     """(page_id, field, source, cipher, gain): the likeliest cipher of each field that is swapped.
 
     In turns, each field's probabilities of its ciphers and of being plain, and each source's shares of them, smoothed by all
     sources'. The rows are the few candidate fields; shares are sums by (source, cipher).
     """
-    rows = found.filter("cipher is not null").groupBy("page_id", "field", "source", "cipher").agg(F.sum("gain").alias("gain"))
+    rows = found.groupBy("page_id", "field", "source", "cipher").agg(F.sum("gain").alias("gain"))
     lost = F.col("cipher") == LOST_BYTES
     rows = cut(rows.withColumn("gain", F.when(lost, LEAST_GAIN).otherwise(F.col("gain"))))
     share = None
@@ -418,45 +455,61 @@ def fitted(found: DataFrame, rounds: int = 4) -> DataFrame:
 
 
 def swapped_fields(pages: DataFrame) -> DataFrame:
-    """(page_id, field, source, cipher, gain, shown, letters): the html and raw_text fields of current pages that hold text
-    decoded in a wrong encoding; cipher `lost bytes` where only U+FFFD says so; shown and letters are a learnt mapping.
+    """(page_id, field, source, cipher, gain, base, shown, letters): the html and raw_text fields of current pages that hold text
+    decoded in a wrong encoding; cipher is the family, LEARNT, or LOST_BYTES where only U+FFFD says so; base is the starting point
+    of the source's mapping, null for LEARNT, and shown and letters where the mapping differs from it.
 
     Null and empty fields are plain; pages without url form one source of their own; very long texts are read whole; older
     fetches and copies are left out; an empty table gives no rows; further columns don't matter.
     """
+    return _swapped(pages)[0]
+
+
+def _swapped(pages: DataFrame):
+    """swapped_fields, the current pages and the language."""
     current = cut(current_pages(pages, "url", "html", "raw_text").select("page_id", site(F.col("url")).alias("source"), "html", "raw_text"))
     counted = bigrams(current)
     language = pages.sparkSession.sparkContext.broadcast(counted)
     found = cut(candidates(current, language))
     singles = counted.singles
-    letters = "".join(chr(c) for c in np.argsort(-singles)[:400].tolist() if 127 < c < 0x2E80 and chr(c).isalpha() and singles[c] > 0)[:80]
+    order = np.argsort(-singles, kind="stable").tolist()
+    letters = "".join([chr(c) for c in order if singles[c] > 0 and 127 < c < 0x2E80 and chr(c).isalpha()][:MOST_LETTERS])
     strange = found.filter("cipher is null")
-    learnt = cut(learnt_mappings(strange, language, letters))
-    learnt = learnt.withColumnRenamed("source", "key")
-    of_source = F.coalesce("source", F.lit("")) == F.col("key")
-    judged = strange.join(learnt, of_source).select("page_id", "field", "source", "line", "shown", "letters").mapInPandas(_judged(language), _CANDIDATE)
-    out = fitted(found.filter("cipher is not null").unionByName(judged))
-    return out.join(learnt, of_source, "left").drop("key")
+    free = learnt_mappings(strange, language, letters)
+    free = free.select(F.col("source").alias("key"), F.lit(LEARNT).alias("cipher"), F.lit(None).cast("string").alias("base"), *[F.filter(F.split(c, ""), lambda x: x != "").alias(c) for c in ("shown", "letters")])
+    mappings = cut(family_mappings(found, language).unionByName(free))
+    pieces = found.filter("line is not null").select("page_id", "field", "source", F.coalesce("cipher", F.lit(LEARNT)).alias("cipher"), "line")
+    judged = pieces.withColumn("key", F.coalesce("source", F.lit(""))).join(mappings, ["key", "cipher"]).mapInPandas(_judged(language), _JUDGED)
+    lost = found.filter(F.col("cipher") == LOST_BYTES).select("page_id", "field", "source", "cipher", "gain")
+    out = fitted(judged.unionByName(lost)).withColumn("key", F.coalesce("source", F.lit("")))
+    return out.join(mappings, ["key", "cipher"], "left").select("page_id", "field", "source", "cipher", "gain", "base", "shown", "letters"), current, language
+
+
+def restored_text(text: str, mapping: tuple, language: Bigrams) -> str:
+    """The text with those pieces read by the mapping that gain by it; all else stays as it is."""
+    out = []
+    for piece in _CUTS.split(text):
+        plain = _plain_text(piece)
+        if not plain.isascii():
+            letter = reading(plain, *mapping)
+            if letter != plain and language.score(letter) > language.score(plain) and language.means([letter])[0] > language.means([plain])[0]:
+                piece = letter
+        out.append(piece)
+    return "".join(out)
 
 
-def _restored(batches):
-    for pdf in batches:
-        texts = []
-        for text, cipher, shown, letters in zip(pdf["text"], pdf["cipher"], pdf["shown"], pdf["letters"]):
-            if cipher == "learnt":
-                table = str.maketrans(shown, letters)
-                texts.append(_plain_text(text).translate(table))
-            elif cipher in CIPHERS:
-                read = CIPHERS[cipher]
-                texts.append("\n".join(x if x.isascii() else read(x) for x in _plain_text(text).split("\n")))
-            else:
-                texts.append(None)
-        yield pdf[["page_id", "field", "cipher"]].assign(text=texts)
+def restored(pages: DataFrame) -> DataFrame:
+    """(page_id, field, cipher, text): swapped_fields with the text read piece by piece by their source's mapping; null where only
+    bytes are lost."""
+    found, current, language = _swapped(pages)
 
+    def run(batches):
+        for pdf in batches:
+            texts = []
+            for text, cipher, base, shown, letters in zip(pdf["text"], pdf["cipher"], pdf["base"], pdf["shown"], pdf["letters"]):
+                texts.append(None if shown is None else restored_text(text, (cipher, base, shown, letters), language.value))
+            yield pdf[["page_id", "field", "cipher"]].assign(text=texts)
 
-def restored(pages: DataFrame) -> DataFrame:
-    """(page_id, field, cipher, text): swapped_fields with the text read by their cipher; null where only bytes are lost."""
-    found = swapped_fields(pages).select("page_id", "field", "cipher", "shown", "letters")
-    current = current_pages(pages, "html", "raw_text")
     fields = current.select("page_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("html", "raw_text")])).alias("f")).select("page_id", "f.*")
-    return fields.join(found, ["page_id", "field"]).mapInPandas(_restored, "page_id bigint, field string, cipher string, text string")
+    rows = fields.join(found, ["page_id", "field"]).select("page_id", "field", "text", "cipher", "base", "shown", "letters")
+    return rows.mapInPandas(run, "page_id bigint, field string, cipher string, text string")

@@ -8,6 +8,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 
+from quern.llm import mappings as mp
 from quern.llm import mojibake as mb
 
 PAGES = "page_id bigint, url string, html string, raw_text string, fetched_at timestamp, source string, cipher string, gain int"
@@ -63,6 +64,59 @@ def test_swapped_fields_are_found_and_restored(spark):
     assert found[1009, "raw_text"] == mb.LOST_BYTES and texts[1009] is None
 
 
+def test_a_field_swapped_in_part_keeps_its_clean_lines(spark):
+    clean, _ = corpus()
+    rnd = random.Random(9)
+    for base, swap in (SWAPS[0], SWAPS[3], SWAPS[4], SWAPS[6]):
+        lines = [sentence(base, rnd) for _ in range(4)]
+        shown = [lines[0], swap(lines[1]), "R&#233;sum&#233; of 2020 &amp; more", swap(lines[2]), lines[3]]
+        rows = [(i, "http://a.test/", None, t, datetime(2024, 1, 2), "s", "c", 1) for i, t in enumerate(clean)]
+        rows.append((900, "http://a.test/", None, "\n".join(shown), datetime(2024, 1, 2), "s", "c", 1))
+        got = {r["page_id"]: r["text"] for r in mb.restored(spark.createDataFrame(rows, PAGES)).collect()}
+        assert got == {900: "\n".join([lines[0], lines[1], shown[2], lines[2], lines[3]])}
+
+
+def test_western_letters_in_a_cyrillic_page_and_quotes_in_a_mac_page(spark):
+    rnd = random.Random(8)
+    clean = ["\n".join([sentence(FRENCH, rnd), sentence(RUSSIAN, rnd), "“Quoted” words aren’t rare – here"]) for _ in range(200)]
+    french, quotes = sentence(FRENCH, rnd), "“Quoted” words aren’t rare – here\nplain"
+    rows = [(900, french.encode("cp1252").decode("cp1251")), (901, quotes.encode().decode("mac_roman"))]
+    df = spark.createDataFrame([(i, None, None, t, datetime(2024, 1, 2), "s", "c", 1) for i, t in [*enumerate(clean), *rows]], PAGES)
+    found = {r["page_id"]: (r["cipher"], r["base"]) for r in mb.swapped_fields(df).collect()}
+    assert found == {900: ("letters as cp1251", "cp1252 as cp1251"), 901: ("utf-8 as mac-roman", "utf-8 as mac-roman")}
+    assert {r["page_id"]: r["text"] for r in mb.restored(df).collect()} == {900: french, 901: quotes}
+
+
+def test_a_mapping_is_learnt_from_several_starting_points():
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.sample(RUSSIAN.lower().split(" "), 12)) for _ in range(300)]
+    lm = language(texts)
+    half = set("абвгдежз")
+    # some letters are as in koi8-r and the others as in cp1251, both shown in mac_cyrillic: no code page has all
+    shown = {c: c.encode("koi8-r" if c in half else "cp1251").decode("mac_cyrillic") for c in sorted(set("".join(texts))) if c > "\x7f"}
+    if len(set(shown.values())) < len(shown):
+        shown = {c: x for c, x in shown.items() if list(shown.values()).count(x) == 1}
+    lines = ["".join(shown.get(c, c) for c in t) for t in texts[:100]]
+    counts = collections.Counter()
+    for x in lines:
+        s = [" ", *mp.symbols(x, "letters as mac_cyrillic"), " "]
+        counts.update((a, b) for a, b in zip(s, s[1:]) if len(a) > 1 or len(b) > 1)
+    base, differ = mp.learn(counts, "letters as mac_cyrillic", lm.pair)
+    got = mp.read(lines[0], "letters as mac_cyrillic", base, differ)
+    assert base == "cp1251 as mac_cyrillic" and differ
+    size = sum(c in shown for c in texts[0])
+    assert sum(a == b for a, b, c in zip(got, texts[0], texts[0]) if c in shown) > 0.8 * size
+
+
+def test_symbols_read_back_what_the_swap_did():
+    for base, swap in SWAPS[:9]:
+        g = swap(base)
+        for cipher, reader in mb.CIPHERS.items():
+            out = reader(g)
+            if out == base and mb.LOST not in g:
+                assert mp.read(g, mp.family_of(cipher), cipher, {}) == base
+
+
 def test_empty_and_null(spark):
     df = frame(spark, [], [])
     assert mb.swapped_fields(df.limit(0)).count() == 0
@@ -116,7 +170,7 @@ def test_a_page_keeps_its_known_pieces_when_the_reader_forgets():
     reader = mb.Reader(language([FRENCH] * 50))
     line = FRENCH.encode().decode("latin-1")
     first = reader.read({"raw_text": line})
-    assert first["raw_text"][0]["utf-8 as western"] > mb.LEAST_GAIN
+    assert first["raw_text"][0]["utf-8 as western", line] > mb.LEAST_GAIN
     reader.known.update({f"é{k}": ({}, False) for k in range(mb.KNOWN + 1)})
     again = reader.read({"raw_text": line + "\nune ligne très nouvelle"})
     assert again["raw_text"][0] == first["raw_text"][0] and len(reader.known) == 2
