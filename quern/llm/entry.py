@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import main_content, mixing, mojibake, near_duplicates, packing, reading_level, site_lines, term_counts, term_weight
-from quern.sources.tables import table
+from quern.sources.tables import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,31 @@ def p9_tempered(s: SparkSession, d: str) -> DataFrame:
     return mixing.shares(docs, mixing.tempered_plan(docs, "repetition", max_repeats=4).union(mixing.tempered_plan(docs, "entropy", entropy=3.0)))
 
 
+def p8_faults(s: SparkSession, d: str) -> DataFrame:
+    return packing.faults(cut(p8_containers(s, d)), _documents(s, d), table(s, d, "container_kind"))
+
+
+def p9_budgets(s: SparkSession, d: str) -> DataFrame:
+    """Budgets by characters, a size that SQL can take too."""
+    docs = _documents(s, d).select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("tokens"))
+    return _budget_columns(docs, table(s, d, "mix_plan"), "size").unionByName(_budget_columns(docs, table(s, d, "mix_plan"), "shares"))
+
+
+def _budget_columns(docs: DataFrame, plan: DataFrame, hold: str) -> DataFrame:
+    rows = mixing.budgets(docs, plan, hold)
+    return rows.select(F.lit(hold).alias("hold"), "plan_id", "source", F.round("budget", 3).alias("budget"), "size", "passes", F.round("rest", 3).alias("rest"))
+
+
+def p9_faults(s: SparkSession, d: str) -> DataFrame:
+    """Of each plan, how many uses of a document are of another source, or more than may be."""
+    used = p9_selection(s, d)
+    plan = table(s, d, "mix_plan").groupBy("plan_id", "source").agg(F.max("max_repeats").alias("may"))
+    own = _documents(s, d).select("doc_id", F.col("source").alias("own"))
+    rows = used.join(own, "doc_id", "left").join(plan, ["plan_id", "source"], "left")
+    wrong = (~F.col("own").eqNullSafe(F.col("source"))) | F.col("may").isNull() | (F.col("times") > F.coalesce("may", F.lit(0)))
+    return rows.groupBy("plan_id").agg(F.sum(F.when(wrong, 1).otherwise(0)).alias("faults"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: term_counts.term_marks(_postings(s, d)).filter("mark is not null").select("word", "mark"),
     "p1_counts": lambda s, d: term_counts.term_marks(_postings(s, d)),
@@ -88,9 +113,13 @@ QUERIES: dict[str, Query] = {
     "p7_groups": lambda s, d: near_duplicates.page_groups(_pages(s, d)),
     "p8_containers": p8_containers,
     "p8_fill": lambda s, d: packing.fill(p8_containers(s, d), table(s, d, "container_kind")),
+    "p8_faults": p8_faults,
     "p9_selection": p9_selection,
     "p9_shares": lambda s, d: mixing.shares(mixing.sized(_documents(s, d)), table(s, d, "mix_plan")),
+    "p9_shares_held": lambda s, d: mixing.shares(mixing.sized(_documents(s, d)), table(s, d, "mix_plan"), hold="shares"),
     "p9_tempered": p9_tempered,
+    "p9_budgets": p9_budgets,
+    "p9_faults": p9_faults,
     "p10_found": lambda s, d: reading_level.demanding(_documents(s, d), table(s, d, "reading_label")).select("doc_id"),
     "p10_levels": lambda s, d: reading_level.reading_levels(_documents(s, d), table(s, d, "reading_label")),
 }
@@ -108,6 +137,16 @@ SELECT p.page_id, CASE WHEN p.raw_text IS NOT NULL THEN coalesce(k.text, '') END
 FROM pages p LEFT JOIN (
   SELECT l.page_id, string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (f.norm IS NULL) AS text, count(f.norm) AS removed
   FROM lines l LEFT JOIN frequent f ON l.site = f.site AND l.norm = f.norm GROUP BY 1) k ON p.page_id = k.page_id""",
+    "p8_faults": """SELECT kind, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS missing, 0::BIGINT AS over_full, 0::BIGINT AS split FROM (SELECT DISTINCT kind FROM container_kind)""",
+    "p9_budgets": """WITH t AS (SELECT sum(coalesce(length(text), 0))::DOUBLE AS t FROM documents),
+sizes AS (SELECT source, sum(coalesce(length(text), 0))::BIGINT AS size FROM documents WHERE source IS NOT NULL GROUP BY 1),
+p AS (SELECT plan_id, source, max(target_share) AS share, max(max_repeats) AS may FROM mix_plan WHERE plan_id IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT plan_id, p.source, may, coalesce(size, 0) AS size, share * (SELECT t FROM t) AS budget FROM p LEFT JOIN sizes USING (source)),
+held AS (SELECT plan_id, least(1.0, min(may * size / budget) FILTER (size > 0)) AS scale FROM b GROUP BY 1),
+each_way AS (SELECT 'size' AS hold, * FROM b UNION ALL SELECT 'shares', plan_id, source, may, size, budget * scale FROM b JOIN held USING (plan_id)),
+passed AS (SELECT *, CASE WHEN size > 0 THEN least(floor(budget / size), may)::INT ELSE 0 END AS passes FROM each_way)
+SELECT hold, plan_id, source, round(budget, 3) AS budget, size, passes, round(CASE WHEN size > 0 AND passes < may THEN budget - passes * size ELSE 0 END, 3) AS rest FROM passed""",
+    "p9_faults": "SELECT DISTINCT plan_id, 0::BIGINT AS faults FROM mix_plan",
     "p7_found": f"""WITH {_PAIRS}
 SELECT a AS page_id_a, b AS page_id_b FROM shown""",
     "p7_groups": f"""WITH RECURSIVE {_PAIRS},

@@ -84,6 +84,20 @@ def containers(documents: DataFrame, kinds: DataFrame, folder: str = FOLDER, voc
     return rows.groupBy("kind", "shard").applyInPandas(_pack_shard, SCHEMA)
 
 
+def faults(packed: DataFrame, documents: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(kind, documents, missing, over_full, split): the rows of each kind's texts, how many texts have none, how many containers
+    hold more than they can, and how many texts are in pieces though they fit: all 0 but the first when packing is right."""
+    some = kinds.filter("capacity_tokens > 0 and kind is not null").groupBy("kind").agg(F.max("capacity_tokens").alias("capacity"))
+    texts = packed.groupBy("kind", "doc_id").agg(F.sum(F.when(F.col("piece_no") == 0, 1).otherwise(0)).alias("n"), F.max("piece_no").alias("last"), F.sum("tokens").alias("t"))
+    texts = texts.join(some, "kind").groupBy("kind").agg(F.sum("n").alias("documents"), F.sum(F.when((F.col("last") > 0) & (F.col("t") <= F.col("capacity")), 1).otherwise(0)).alias("split"))
+    over = packed.filter("container_id is not null").groupBy("kind", "container_id").agg(F.sum("tokens").alias("t")).join(some, "kind")
+    over = over.groupBy("kind").agg(F.sum(F.when(F.col("t") > F.col("capacity"), 1).otherwise(0)).alias("over_full"))
+    n = documents.agg(F.count(F.lit(1)).alias("n")).scalar()
+    rows = some.select("kind").join(texts, "kind", "left").join(over, "kind", "left")
+    zero = F.lit(0).cast("bigint")
+    return rows.select("kind", F.coalesce("documents", zero).alias("documents"), (n - F.coalesce("documents", zero)).alias("missing"), F.coalesce("over_full", zero).alias("over_full"), F.coalesce("split", zero).alias("split"))
+
+
 def fill(packed: DataFrame, kinds: DataFrame) -> DataFrame:
     """(kind, containers, tokens, capacity_tokens, fill): how full the containers of each kind are."""
     by = packed.filter("container_id is not null").groupBy("kind", "container_id").agg(F.sum("tokens").alias("t"))

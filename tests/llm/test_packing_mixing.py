@@ -136,6 +136,27 @@ def test_mixing_reaches_targets(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_held_shares(spark):
+    df, rows = documents(spark, 2, 3000)
+    plan = spark.createDataFrame([("p", "hot", 0.3, 1, 0, 0), ("p", "a", 0.5, 3, 0, 0), ("p", "tiny", 0.1, 2, 0, 0), ("p", "absent", 0.1, 5, 0, 0)], PLAN)
+    docs = mixing.sized(df)
+    got = {r["source"]: r for r in mixing.shares(docs, plan, hold="shares").collect()}
+    tokens = sum(r["tokens"] for r in got.values())
+    assert 0 < tokens and got["absent"]["tokens"] == 0
+    for s, target in (("hot", 0.3), ("a", 0.5), ("tiny", 0.1)):
+        assert abs(got[s]["tokens"] - target / 0.9 * tokens) <= max(0.02 * tokens, 130)
+        assert got[s]["most_repeats"] <= {"hot": 1, "a": 3, "tiny": 2}[s]
+    with pytest.raises(ValueError):
+        mixing.budgets(docs, plan, "else")
+
+
+def test_faults_are_counted(spark):
+    kinds = spark.createDataFrame([("k", 10, 1)], KINDS)
+    docs = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "doc_id bigint, text string")
+    packed = spark.createDataFrame([("k", 1, 1, 0, 8), ("k", 1, 2, 0, 3), ("k", 2, 2, 1, 1)], packing.SCHEMA)
+    assert tuple(packing.faults(packed, docs, kinds).first()) == ("k", 2, 1, 1, 1)
+
+
 def test_mixing_empty(spark):
     df, _ = documents(spark)
     plan = spark.createDataFrame([("p", "hot", 0.3, 1, 0, 0)], PLAN)
