@@ -1,7 +1,8 @@
 """The lines of a page's own article (problem 5).
 
 Gradient-boosted trees over features of DOM nodes judge every line: of the line itself, of its element and of the container it
-stands in (size and share of links of its own lines and of its subtree, attribute tokens, depth, place among its siblings), of the
+stands in (size and share of links of its own lines and of its subtree, the learnt odds of its tag and attribute tokens and of its
+ancestors', depth, place among its siblings and share of their text), of the
 page's title, and of how many pages of the site have the same line. Decoding is hierarchical: containers are judged from the leaves
 up and accepted from the body down, so a line can't contradict any ancestor, and a list within the article is judged with it.
 
@@ -35,7 +36,7 @@ _BODY = re.compile(r"^.*?<body[^>]*>", re.S | re.I)
 _CONTAINERS = frozenset("div td section article main aside nav footer header body table ul ol form".split())
 _LISTS = frozenset(("ul", "ol"))
 _TEXTUAL = {"p": 1, "li": 2, "h1": 3, "h2": 3, "h3": 3, "h4": 3, "blockquote": 4, "span": 5}
-_TOKENS = [re.compile(x, re.I) for x in (r"menu|nav|crumb", r"side|related|aside", r"foot|copy|legal", r"content|main|article|body|text", r"cookie|dialog|banner|consent", r"top|small|off|fix")]
+_TOKENS = re.compile("[a-z]+")
 _TIME = re.compile(r"\d{1,4}[-./]\d{1,2}[-./]\d{1,4}|\d{1,2}:\d{2}")
 _WORDS = re.compile("[㐀-鿿]|[^\\W\\d_㐀-鿿]+|[^\\w\\s]|\\d+")
 _ENDS = frozenset(".!?。！？…")
@@ -150,7 +151,16 @@ class Page:
                 inside |= self.container == c
         return (ok & inside).astype(float)
 
-    def features(self, odds: dict[str, float]) -> np.ndarray:
+    def attributes(self) -> list[str]:
+        """Of each line the tag and attribute tokens of its container, and after `>` those of its ancestors, all but the body's."""
+        own = [" ".join([tag, *_TOKENS.findall(attr.lower())]) if parent >= 0 else "" for tag, attr, parent, _ in self.nodes]
+        chain: list[str] = []
+        for c, (_, _, parent, _) in enumerate(self.nodes):
+            above = " ".join(chain[parent].replace(" > ", " ").split()) if parent >= 0 else ""
+            chain.append(f"{own[c]} > {above}" if parent >= 0 else own[c])
+        return [chain[c] for c in self.container]
+
+    def features(self, odds: dict[str, float], attribute_odds: dict[str, float]) -> np.ndarray:
         n = len(self.texts)
         size = np.array([len(t) for t in self.texts], dtype=float)
         whole = size.sum() or 1.0
@@ -173,14 +183,20 @@ class Page:
         present = np.flatnonzero(in_lines)
         place = np.zeros(m)
         place[present] = (np.arange(len(present)) + 0.5) / max(len(present), 1)
-        attrs = np.zeros((m, len(_TOKENS) + 3))
-        for c in present:
+        beside = np.zeros(m)  # the text of a container among that of all within its parent
+        attrs = np.zeros((m, 6))
+        for c, chain in zip(groups.tolist(), self.attributes()):
+            if attrs[c, -2]:
+                continue
             tag, attr, parent, depth = self.nodes[c]
-            chain = tag + attr + (" " + self.nodes[parent][0] + self.nodes[parent][1] if parent > 0 else "")
-            for k, t in enumerate(_TOKENS):
-                attrs[c, k] = 1.0 if t.search(chain) else 0.0
+            beside[c] = tree_size[c] / max(tree_size[parent], 1) if parent >= 0 else 1.0
+            own, _, above = chain.partition(" > ")
+            known = [attribute_odds[t] for t in own.split() if t in attribute_odds]
+            higher = [attribute_odds[t] for t in above.split() if t in attribute_odds]
+            attrs[c, 0] = sum(known) / len(known) if known else 0.0
+            attrs[c, 1], attrs[c, 2] = min([*known, *higher, 0.0]), max([*known, *higher, 0.0])
             attrs[c, -3] = depth
-            attrs[c, -2] = {"none": 0, "body": 1, "div": 2, "td": 3, "section": 4, "article": 5, "main": 5, "aside": 6, "nav": 7, "ul": 7, "ol": 7, "footer": 8, "header": 9}.get(tag, 1)
+            attrs[c, -2] = {"none": 0.5, "body": 1, "div": 2, "td": 3, "section": 4, "article": 5, "main": 5, "aside": 6, "nav": 7, "ul": 7, "ol": 7, "footer": 8, "header": 9}.get(tag, 1)
             attrs[c, -1] = 1.0 if "colspan" in attr else 0.0
         head = -1
         rows = np.zeros((n, 16))
@@ -208,7 +224,7 @@ class Page:
             np.stack([self.element, np.full(n, 1.0 if self.aligned else 0.0)], axis=1), rows,
             np.stack([self.link, in_link[g] / np.maximum(in_size[g], 1), in_size[g] / whole, plain[g] / max(plain.sum(), 1), np.log(in_lines[g]), np.log(longest[g] + 1), rank[g], place[g], in_size[g] / in_lines[g]], axis=1),
             attrs[g],
-            np.stack([tree_link[g] / np.maximum(tree_size[g], 1), tree_size[g] / whole, np.log(tree_lines[g]), tree_size[g] / tree_lines[g]], axis=1),
+            np.stack([tree_link[g] / np.maximum(tree_size[g], 1), tree_size[g] / whole, np.log(tree_lines[g]), tree_size[g] / tree_lines[g], beside[g]], axis=1),
         ], axis=1)
 
 
@@ -226,10 +242,11 @@ def word_odds(pages: list[tuple[list[str], np.ndarray]], least: int = 3) -> dict
 
 
 class Model:
-    """trees judge lines of pages with html, blocks those of pages without; odds are those of words."""
+    """trees judge lines of pages with html, blocks those of pages without; odds are those of words, attribute_odds those of tags and
+    attribute tokens."""
 
-    def __init__(self, trees: Trees | None, blocks: Trees | None, odds: dict[str, float]):
-        self.trees, self.blocks, self.odds = trees, blocks, odds
+    def __init__(self, trees: Trees | None, blocks: Trees | None, odds: dict[str, float], attribute_odds: dict[str, float]):
+        self.trees, self.blocks, self.odds, self.attribute_odds = trees, blocks, odds, attribute_odds
 
     def article(self, pages: list[Page]) -> list[np.ndarray]:
         """Which lines of each page are the article's."""
@@ -239,7 +256,7 @@ class Model:
         out = {}
         for trees, some in ((self.trees, [p for p in filled if p.aligned]), (self.blocks, [p for p in filled if not p.aligned])):
             if some:
-                logit, at = trees.logit(np.concatenate([p.features(self.odds) for p in some])), 0
+                logit, at = trees.logit(np.concatenate([p.features(self.odds, self.attribute_odds) for p in some])), 0
                 for p in some:
                     out[id(p)] = decode(p, logit[at : at + len(p.texts)])
                     at += len(p.texts)
@@ -275,16 +292,21 @@ def fit(pages: list[Page]) -> Model:
     """A model of those pages that mark their headline; without any it calls nothing article."""
     known = [(p, y) for p in pages if p.texts and (y := p.labels()) is not None and 0 < y.sum() < len(y)]
     if len(known) < 4:
-        return Model(None, None, {})
-    halves = [word_odds([(p.texts, y) for k, (p, y) in enumerate(known) if k % 2 != h]) for h in (0, 1)]
-    x = np.concatenate([p.features(halves[k % 2]) for k, (p, _) in enumerate(known)])
+        return Model(None, None, {}, {})
+    halves = [_odds([pair for k, pair in enumerate(known) if k % 2 != h]) for h in (0, 1)]
+    x = np.concatenate([p.features(*halves[k % 2]) for k, (p, _) in enumerate(known)])
     y = np.concatenate([y for _, y in known])
     hidden = x.copy()
     hidden[:, ELEMENT.start] = 0
     trees = Trees().fit(np.concatenate([x, hidden]), np.concatenate([y, y]))
-    bare = [(Page(*p.without_dom).features(halves[k % 2]), y) for k, (p, y) in enumerate(known) if k % 4 < 2]
+    bare = [(Page(*p.without_dom).features(*halves[k % 2]), y) for k, (p, y) in enumerate(known) if k % 4 < 2]
     blocks = Trees().fit(np.concatenate([b for b, _ in bare]), np.concatenate([v for _, v in bare]))
-    return Model(trees, blocks, word_odds([(p.texts, y) for p, y in known]))
+    return Model(trees, blocks, *_odds(known))
+
+
+def _odds(known: list[tuple[Page, np.ndarray]]) -> tuple[dict[str, float], dict[str, float]]:
+    """The log odds of words and of tags and attribute tokens."""
+    return word_odds([(p.texts, y) for p, y in known]), word_odds([(p.attributes(), y) for p, y in known])
 
 
 def _pages(pdf: pd.DataFrame) -> list[Page]:
@@ -317,7 +339,7 @@ def fitted(described: DataFrame, max_pages: int = MAX_PAGES) -> Model:
     marked = described.filter(F.lower("html").contains("<h1")).withColumn("order", F.xxhash64("page_id"))
     last = marked.select("order").orderBy("order").limit(max_pages).agg(F.max("order")).first()[0]
     if last is None:
-        return Model(None, None, {})
+        return Model(None, None, {}, {})
     return fit(_pages(marked.filter(F.col("order") <= last).orderBy("order").limit(max_pages).drop("order").toPandas()))
 
 

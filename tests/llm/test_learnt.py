@@ -117,12 +117,22 @@ def test_decoding_obeys_all_ancestors():
 
 def test_features_of_subtrees():
     p = nested()
-    link, share, lines, _ = p.features({})[:, -4:].T
+    link, share, lines, _, beside = p.features({}, {})[:, -5:].T
+    assert np.allclose(beside[[0, 5]], [(len(p.texts[0]) + len(p.texts[1])) / sum(map(len, p.texts)), len(p.texts[5]) / sum(map(len, p.texts[2:]))])
     size = [len(t) for t in p.texts]
     assert np.allclose(link[:2], [size[0] / (size[0] + size[1]), 0]) and np.allclose(share[2], sum(size[2:]) / sum(size))
     assert np.allclose(lines, np.log([2, 1, 4, 2, 2, 1]))
 
 
+def test_attribute_tokens_of_a_line_and_its_ancestors():
+    html = '<body><div class="side-bar" id=Left2><ul class=menu><li>a\n</li></ul>b\n</div>c</body>'
+    p = mc.Page(None, html, "a\nb\nc", {}, 1, None)
+    assert p.attributes() == ["ul class menu > div class side bar id left", "div class side bar id left > ", ""]
+    x = p.features({}, {"menu": -2.0, "side": -4.0, "div": 1.0})
+    own, least, most = x[:, -11:-8].T
+    assert own.tolist() == [-2.0, -1.5, 0.0] and least.tolist() == [-4.0, -4.0, 0.0] and most.tolist() == [1.0, 1.0, 0.0]
+
+
 EASY = "The cat is {}. We like the {} dog. Look at the {} tree!".split(". ")
 HARD = "Notwithstanding the institutional {} of comprehensive methodologies, the resultant proliferation remains contingent upon heterogeneous architectures whose {} presupposes considerable reconciliation."
 PLAIN = "The library in the old {} district published its reports, and the council decided on Monday to renew the {} building."
