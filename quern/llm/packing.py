@@ -18,6 +18,8 @@ from quern.sources.tables import spread
 
 #: Items of one shard, about.
 SHARD = 16384
+#: More kinds than this are refused, as every text is packed into containers of each.
+MAX_KINDS = 1000
 SCHEMA = "kind string, container_id bigint, doc_id bigint, piece_no int, tokens bigint"
 
 
@@ -77,7 +79,10 @@ def containers(documents: DataFrame, kinds: DataFrame, folder: str = FOLDER, voc
     sizes = spread(documents.select("doc_id", "text")).select("doc_id", token_count(F.col("text"), folder, vocabulary).alias("tokens"))
     sizes = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens"), F.greatest(F.ceil(n / F.lit(shard)), F.lit(1))))
     some = kinds.filter("capacity_tokens > 0 and kind is not null").groupBy("kind").agg(F.max("capacity_tokens").alias("capacity"))
-    choices = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.capacity).alias("capacity")) for r in some.orderBy("kind").collect()]
+    listed = some.orderBy("kind").limit(MAX_KINDS + 1).collect()
+    if len(listed) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds")
+    choices = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.capacity).alias("capacity")) for r in listed]
     if not choices:
         return documents.sparkSession.createDataFrame([], SCHEMA)
     rows = sizes.select("doc_id", "tokens", "shard", F.explode(F.array(*choices)).alias("k")).select("doc_id", "tokens", "shard", "k.kind", "k.capacity")
