@@ -217,6 +217,50 @@ def test_demanding_holds_for_any_choice_of_labels():
     assert max(shares) - min(shares) < 0.03
 
 
+def shares(found, true):
+    return len(found & true) / max(1, len(found)), len(found & true) / len(true)
+
+
+def test_cut_lies_where_few_texts_lie(spark):
+    rnd = random.Random(6)
+    texts = [text_of(rnd, 1 + i % 5) for i in range(500)]
+    hard = [t.count("Notwithstanding") for t in texts]
+    # of grade 3 those of few hard sentences, and some of three hard ones that were graded one too high
+    few = [i for i in range(200) if i % 5 != 2 or hard[i] < 3][:80]
+    labels = [(i, 1 + i % 5, "r") for i in few] + [(i, 4, "r") for i in range(200) if i % 5 == 2 and hard[i] == 3][:4]
+    labels = [x for x in labels if x[1] < 4 or hard[x[0]] == 3 or hard[x[0]] > 7]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"] for r in rl.demanding(df, spark.createDataFrame(labels, "doc_id bigint, grade int, rater string")).collect()}
+    assert min(shares(found, {i for i in range(500) if 1 + i % 5 >= 4})) > 0.95
+
+
+def text_in(rnd, lang, hard, n=10):
+    """A text of an invented language, whose few easy words are short and hard ones long."""
+    out = []
+    for _ in range(n):
+        words = [f"{lang}{rnd.choice('abcdefgh')}" for _ in range(4)]
+        if hard:
+            words += [f"{lang}{rnd.choice(['abstrakta', 'hypothesia', 'konstituta', 'methodika'])}{rnd.choice('abcdefgh')}" for _ in range(8)]
+        out.append(" ".join(rnd.sample(words, len(words))) + ".")
+    return " ".join(out)
+
+
+def test_languages_have_registers_of_their_own(spark):
+    rnd = random.Random(8)
+    rows = [(i, text_of(rnd, 1 + i % 5), "en", 1 + i % 5) for i in range(400)]
+    for k, lang in enumerate(("ka", "mo")):
+        for i in range(100):
+            rows.append((400 + 100 * k + i, text_in(rnd, lang, i % 3 == 0, 20), (lang, lang.upper(), None)[0 if i % 10 else i // 10 % 3], 5 if i % 3 == 0 else 1))
+    grade = {r[0]: r[3] for r in rows}
+    graded = [*range(60), 403, 406, 409, 501, 502, 504]  # of one language hard texts only, of the other easy ones
+    labels = [(i, grade[i], "r") for i in graded]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id bigint, grade int, rater string")
+    found = {r["doc_id"] for r in rl.demanding(df, marks).collect()}
+    assert min(shares(found, {i for i, g in grade.items() if g >= 4})) > 0.95
+    assert len(rl.fitted(df, marks)[0].parts) == 3
+
+
 def test_pairs_beyond_the_bound_are_sampled():
     rnd = np.random.default_rng(0)
     y = rnd.integers(1, 6, 300).astype(float)
